@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm import bpe, token_files
+from gavelframe.llm import bpe, ngram_join, token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,8 +31,12 @@ def bpe_digests(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_bpe)}
+    return {f.__name__: f for f in (op3_token_files, op4_bpe, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
