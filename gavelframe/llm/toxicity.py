@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return pa.table({"terms": pa.array([[t for t, _ in terms]], pa.list_(pa.string())), "weights": pa.array([[w for _, w in terms]], pa.list_(pa.float64())), "exceptions": pa.array([list(lexicon.exceptions)], pa.list_(pa.string())), "coefficients": pa.array([list(lexicon.coefficients)], pa.list_(pa.float64()))})
 
     rows = training_rows(docs, labels, key, text, label, max_rows, held_out)
-    made = rows.groupBy(F.lit(1)).applyInArrow(run, "terms array<string>, weights array<double>, exceptions array<string>, coefficients array<double>").first()
+    made = rows.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "terms array<string>, weights array<double>, exceptions array<string>, coefficients array<double>").first()
     if made is None:
         return Lexicon(dict.fromkeys(SEED_TERMS, 1.0))
     return Lexicon(dict(zip(made["terms"], made["weights"])), tuple(made["exceptions"]), tuple(made["coefficients"]))
