@@ -25,7 +25,7 @@ non-null key.  Other columns are ignored.  Classes are told apart by 64-bit hash
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.components import components
-from gavelframe.llm.storage import Scratch
+from gavelframe.llm.storage import Scratch, bounded_batches
 
 TABLE = 1 << 20  # most frequent n-grams that are broadcast (12 bytes each)
 MIN_COUNT = 8  # rarer n-grams never enter the table
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
-FLUSH = 2_000_000
-CHUNK_BYTES = 2_000_000
+FLUSH = 1_000_000
+CHUNK_BYTES = 500_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_VALUES[data] * up[: len(data)])])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
     return hashes, np.diff(np.searchsorted(starts, offsets))
@@ -395,7 +395,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """(key, n_shingles, class_id, component_id) of every row; percent is 100 times the similarity."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    bits = _buckets(spark)
+    bounded_batches(spark)
+    bits, n_gram = _buckets(spark), n
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     counted = texts.mapInArrow(_count_pass(n, bits), BLOBS).groupBy("bucket").applyInArrow(_merge_counts(bits), FACTS)
@@ -406,17 +407,33 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     packed = texts.select("t").mapInArrow(_posting_pass(n, bits, percent, frequent), BLOBS)
     postings = scratch.save(packed.groupBy("bucket").applyInArrow(_merge_postings, POSTINGS), "ngram-postings")
 
-    # the sets of all records on a list, read again from the texts of one document of each class
-    listed = postings.select("c").distinct()
-    chosen = scratch.save(members.join(listed, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")).select("k").distinct(), "ngram-chosen")
-    small = chosen.count() <= BROADCAST_ROWS
-    wanted = texts.join(F.broadcast(chosen) if small else chosen, texts["k"].eqNullSafe(chosen["k"]), "left_semi").select("t")
-    sets = scratch.save(wanted.mapInArrow(_set_pass(n), "c long, s binary").join(listed, "c", "left_semi").dropDuplicates(["c"]), "ngram-sets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-        rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return scratch.save(rows.mapInArrow(_verify_pass(percent), "a long, b long"), name)
+    owners = members.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
+    sets: list[DataFrame] = []
+
+    def read_sets(pairs: DataFrame, step: int) -> None:
+        """Sets of the classes in pairs that are not there yet, from the texts of one document of each."""
+        need = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        for part in sets:
+            need = need.join(part, "c", "left_anti")
+        need = scratch.save(need, f"ngram-need-{step}")
+        n = need.count()
+        if not n:
+            return
+        chosen = owners.join(need, "c", "left_semi").select("k").distinct()
+        small = n <= BROADCAST_ROWS
+        wanted = texts.join(F.broadcast(chosen) if small else chosen, texts["k"].eqNullSafe(chosen["k"]), "left_semi").select("t")
+        made = wanted.mapInArrow(_set_pass(n_gram), "c long, s binary").join(F.broadcast(need) if small else need, "c", "left_semi")
+        sets.append(scratch.save(made, f"ngram-sets-{step}"))
+
+    def verified(pairs: DataFrame, step: int) -> DataFrame:
+        pairs = scratch.save(pairs, f"ngram-pairs-{step}")
+        read_sets(pairs, step)
+        if not sets:
+            return pairs
+        known = reduce(DataFrame.unionByName, sets)
+        left, right = known.select(F.col("c").alias("a"), F.col("s").alias("x")), known.select(F.col("c").alias("b"), F.col("s").alias("y"))
+        rows = left.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a").join(right, "b").select("a", "b", "x", "y")
+        return scratch.save(rows.mapInArrow(_verify_pass(percent), "a long, b long"), f"ngram-links-{step}")
 
     def passing(a: str, b: str) -> F.Column:
         """Length and positional filter of the postings a and b of one list."""
@@ -436,13 +453,13 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
             other = now.join(sizes.where("groups > 1"), "h").where("g <> most").select("h", record.alias("y"))
         proposed = now.select("h", record.alias("x")).join(other, "h").where(passing("x", "y"))
         pairs = proposed.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-        found = verified(pairs, f"ngram-links-{step}")
+        found = verified(pairs, step)
         scratch.drop(f"ngram-now-{step}")
         links = found if links is None else links.unionByName(found)
         graph = components(scratch, links, f"ngram-graph-{step}")
         if step:
             scratch.drop(f"ngram-graph-{step - 1}-components")
-    scratch.drop("ngram-postings", "ngram-sets", "ngram-chosen")
+    scratch.drop("ngram-postings", *(f"ngram-{kind}-{step}" for kind in ("sets", "need", "pairs") for step in range(ROUNDS + 1)))
 
     placed = members.join(graph, F.col("c") == F.col("u"), "left").select("k", "m", "c", F.coalesce("v", "c").alias("g"))
     names = placed.where("g is not null").groupBy("g").agg(F.min("k").alias("component_id"))

@@ -8,6 +8,7 @@ on one machine).
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the Arrow batches that rows with long texts or sets make; a session setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Scratch:
     """Written intermediate tables of one operator run."""
 
@@ -55,6 +67,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
+        release(self.spark)
         return out
 
     def drop(self, *names: str) -> None:
