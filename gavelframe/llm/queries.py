@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm import bpe, line_templates, mixing, ngram_join, token_files, toxicity
+from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"), F.col("toxicity_terms").alias("terms"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), is_query=lambda key: key % 50 == 0)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -52,12 +56,16 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_bpe, op6_mixing, op8_line_templates, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_permutation_index, op3_token_files, op4_bpe, op6_mixing, op8_line_templates, op9_embedding_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
