@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, token_files, toxicity
+from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, pii, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,6 +51,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -65,7 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_permutation_index, op3_token_files, op4_bpe, op6_mixing, op8_line_templates, op9_embedding_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_permutation_index, op3_token_files, op4_bpe, op6_mixing, op7_pii, op8_line_templates, op9_embedding_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
