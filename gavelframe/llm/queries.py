@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, pii, token_files, toxicity
+from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, pii, token_files, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +47,10 @@ def bpe_digests(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_permutation_index, op3_token_files, op4_bpe, op6_mixing, op7_pii, op8_line_templates, op9_embedding_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_permutation_index, op3_token_files, op4_bpe, op5_warc, op6_mixing, op7_pii, op8_line_templates, op9_embedding_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
