@@ -1,9 +1,15 @@
 """Named queries and the SQL that checks them."""
 
+from __future__ import annotations
+
+from gavelframe.plans import certification
+
+MODULES = (certification,)
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.S.items() if sql}
