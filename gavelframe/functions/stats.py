@@ -37,14 +37,17 @@ def _fraction(x: str, a: str, b: str, steps: str) -> str:
     return f"aggregate(sequence(2, {steps}), struct(1D as c, {first} as d, {first} as h), (f, j) -> transform(array({coefficient}), q -> struct(1 + q / f.c as c, 1 / (1 + q * f.d) as d, f.h * (1 + q / f.c) / (1 + q * f.d) as h))[0], f -> f.h)"
 
 
+def incomplete_beta(x: str, a: str, b: str, n: str) -> str:
+    """SQL of I_x(a, b) for 0 < x < 1 and positive a, b with a + b about n; the cost grows as the square root of n."""
+    steps = f"cast(120 + 4 * sqrt({n}) as int)"
+    front = f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ({_lgamma(a)} + {_lgamma(b)} - {_lgamma(f'({a} + {b})')}))"
+    return f"if({x} < ({a} + 1) / ({a} + {b} + 2), {front} * {_fraction(x, a, b, steps)} / {a}, 1 - {front} * {_fraction(f'(1 - {x})', b, a, steps)} / {b})"
+
+
 def _upper(k: str, n: str, alpha: str) -> str:
     """Upper Clopper-Pearson bound by 60 bisections on P(X <= k | p) = I_(1-p)(n - k, k + 1)."""
-    a, b, p = f"cast({n} - {k} as double)", f"cast({k} + 1 as double)", "((s.lo + s.hi) / 2)"
-    steps = f"cast(120 + 4 * sqrt({n}) as int)"
-    log_beta = f"({_lgamma(a)} + {_lgamma(b)} - {_lgamma(f'cast({n} + 1 as double)')})"
-    front = f"exp({a} * ln(1 - {p}) + {b} * ln({p}) - {log_beta})"
-    x = f"(1 - {p})"
-    cdf = f"if({p} >= 1, 0D, if({p} <= 0, 1D, if({x} < ({a} + 1) / ({a} + {b} + 2), {front} * {_fraction(x, a, b, steps)} / {a}, 1 - {front} * {_fraction(p, b, a, steps)} / {b})))"
+    p = "((s.lo + s.hi) / 2)"
+    cdf = f"if({p} >= 1, 0D, if({p} <= 0, 1D, {incomplete_beta(f'(1 - {p})', f'cast({n} - {k} as double)', f'cast({k} + 1 as double)', n)}))"
     step = f"if({cdf} > {alpha} / 2, struct({p} as lo, s.hi as hi), struct(s.lo as lo, {p} as hi))"
     return f"if({k} >= {n}, 1D, aggregate(sequence(1, 60), struct(cast({k} as double) / {n} as lo, 1D as hi), (s, i) -> {step}, s -> s.hi))"
 

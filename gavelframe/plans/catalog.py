@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gavelframe.plans import certification
+from gavelframe.plans import certification, gates
 
-MODULES = (certification,)
+MODULES = (certification, gates)
 
 
 def queries():
