@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gavelframe.plans import certification, gates
+from gavelframe.plans import certification, gates, panels
 
-MODULES = (certification, gates)
+MODULES = (certification, gates, panels)
 
 
 def queries():
