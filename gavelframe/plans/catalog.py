@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gavelframe.plans import certification, gates, panels
+from gavelframe.plans import certification, gates, panels, texts
 
-MODULES = (certification, gates, panels)
+MODULES = (certification, gates, panels, texts)
 
 
 def queries():
