@@ -16,11 +16,12 @@ _LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.323
 
 def wilson(k: str, n: str, z: float = Z) -> tuple[Column, Column]:
     """Wilson score interval; (0, 1) without trials."""
-    p, m = F.col(k) / F.col(n), F.col(n)
+    m = F.nullif(F.col(n), F.lit(0))
+    p = F.col(k) / m
     denominator = 1 + z * z / m
     centre = (p + z * z / (2 * m)) / denominator
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / denominator
-    none = m == 0
+    none = F.col(n) == 0
     return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)), F.when(none, 1.0).otherwise(F.least(F.lit(1.0), centre + half))
 
 
@@ -31,10 +32,10 @@ def _lgamma(z: str) -> str:
 
 def _fraction(x: str, a: str, b: str, steps: str) -> str:
     """Continued fraction of the incomplete beta function (two half steps a term)."""
-    m = "cast(floor(j / 2) as double)"
-    coefficient = f"if(j % 2 = 0, {m} * ({b} - {m}) * {x} / (({a} - 1 + 2 * {m}) * ({a} + 2 * {m})), -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 1 + 2 * {m})))"
+    m = "cast(floor(cf_j / 2) as double)"
+    coefficient = f"if(cf_j % 2 = 0, {m} * ({b} - {m}) * {x} / (({a} - 1 + 2 * {m}) * ({a} + 2 * {m})), -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 1 + 2 * {m})))"
     first = f"1 / (1 - ({a} + {b}) * {x} / ({a} + 1))"
-    return f"aggregate(sequence(2, {steps}), struct(1D as c, {first} as d, {first} as h), (f, j) -> transform(array({coefficient}), q -> struct(1 + q / f.c as c, 1 / (1 + q * f.d) as d, f.h * (1 + q / f.c) / (1 + q * f.d) as h))[0], f -> f.h)"
+    return f"aggregate(sequence(2, {steps}), struct(1D as c, {first} as d, {first} as h), (cf_f, cf_j) -> transform(array({coefficient}), cf_q -> struct(1 + cf_q / cf_f.c as c, 1 / (1 + cf_q * cf_f.d) as d, cf_f.h * (1 + cf_q / cf_f.c) / (1 + cf_q * cf_f.d) as h))[0], cf_f -> cf_f.h)"
 
 
 def incomplete_beta(x: str, a: str, b: str, n: str) -> str:
@@ -46,10 +47,10 @@ def incomplete_beta(x: str, a: str, b: str, n: str) -> str:
 
 def _upper(k: str, n: str, alpha: str) -> str:
     """Upper Clopper-Pearson bound by 60 bisections on P(X <= k | p) = I_(1-p)(n - k, k + 1)."""
-    p = "((s.lo + s.hi) / 2)"
+    p = "((cp_s.lo + cp_s.hi) / 2)"
     cdf = f"if({p} >= 1, 0D, if({p} <= 0, 1D, {incomplete_beta(f'(1 - {p})', f'cast({n} - {k} as double)', f'cast({k} + 1 as double)', n)}))"
-    step = f"if({cdf} > {alpha} / 2, struct({p} as lo, s.hi as hi), struct(s.lo as lo, {p} as hi))"
-    return f"if({k} >= {n}, 1D, aggregate(sequence(1, 60), struct(cast({k} as double) / {n} as lo, 1D as hi), (s, i) -> {step}, s -> s.hi))"
+    step = f"if({cdf} > {alpha} / 2, struct({p} as lo, cp_s.hi as hi), struct(cp_s.lo as lo, {p} as hi))"
+    return f"if({k} >= {n}, 1D, aggregate(sequence(1, 60), struct(cast({k} as double) / {n} as lo, 1D as hi), (cp_s, cp_i) -> {step}, cp_s -> cp_s.hi))"
 
 
 def clopper_pearson(k: str, n: str, alpha: str = "0.05D") -> tuple[Column, Column]:
@@ -63,16 +64,16 @@ def clopper_pearson(k: str, n: str, alpha: str = "0.05D") -> tuple[Column, Colum
 
 def kappa(both: str, first_only: str, second_only: str, neither: str) -> Column:
     """Cohen's kappa of a 2x2 table; null when it is undefined."""
-    n = F.col(both) + F.col(first_only) + F.col(second_only) + F.col(neither)
+    n = F.nullif(F.col(both) + F.col(first_only) + F.col(second_only) + F.col(neither), F.lit(0))
     a, b = (F.col(both) + F.col(first_only)) / n, (F.col(both) + F.col(second_only)) / n
     observed, expected = (F.col(both) + F.col(neither)) / n, a * b + (1 - a) * (1 - b)
-    return F.when((n > 0) & (expected != 1), (observed - expected) / (1 - expected))
+    return (observed - expected) / F.nullif(1 - expected, F.lit(0.0))
 
 
 def newcombe(k1: str, n1: str, k2: str, n2: str) -> tuple[Column, Column, Column]:
     """(difference, low, high) of two proportions from their Wilson intervals; null without trials on a side."""
     (l1, u1), (l2, u2) = wilson(k1, n1), wilson(k2, n2)
-    p1, p2 = F.col(k1) / F.col(n1), F.col(k2) / F.col(n2)
+    p1, p2 = F.col(k1) / F.nullif(F.col(n1), F.lit(0)), F.col(k2) / F.nullif(F.col(n2), F.lit(0))
     d, ok = p1 - p2, (F.col(n1) > 0) & (F.col(n2) > 0)
     return F.when(ok, d), F.when(ok, d - F.sqrt(F.pow(p1 - l1, 2) + F.pow(u2 - p2, 2))), F.when(ok, d + F.sqrt(F.pow(u1 - p1, 2) + F.pow(p2 - l2, 2)))
 
@@ -80,13 +81,13 @@ def newcombe(k1: str, n1: str, k2: str, n2: str) -> tuple[Column, Column, Column
 def rogan_gladen(rate: Column, sensitivity: Column, specificity: Column) -> Column:
     """True rate behind an apparent one, clipped to [0, 1]; null if the test carries no information."""
     denominator = sensitivity + specificity - 1
-    return F.when(denominator > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rate + specificity - 1) / denominator)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rate + specificity - 1) / F.when(denominator > 0, denominator))) + F.when(denominator > 0, 0.0)
 
 
 def begg_greenes(q: Column, a: Column, b: Column) -> tuple[Column, Column]:
     """Sensitivity and specificity from the pass rate and the success rates within passes and fails."""
     sp, fp, sf, ff = q * a, q * (1 - a), (1 - q) * b, (1 - q) * (1 - b)
-    return F.when(sp + sf > 0, sp / (sp + sf)), F.when(fp + ff > 0, ff / (fp + ff))
+    return sp / F.nullif(sp + sf, F.lit(0.0)), ff / F.nullif(fp + ff, F.lit(0.0))
 
 
 def decide_check(successes: str, trials: str, errors: str, threshold: str, alpha_fail: str, min_trials: int = 10, max_missing: float = 0.1) -> tuple[Column, Column, Column]:

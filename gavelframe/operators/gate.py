@@ -28,8 +28,8 @@ def binomial_tail(up: str, down: str) -> tuple[Column, Column]:
 def hypergeometric_tail(k1: str, n1: str, k2: str, n2: str) -> tuple[Column, Column]:
     """(p_better, p_worse) of arm 2 against arm 1 under random relabelling: tails of arm 2's passes given all passes."""
     k, n = f"({k1} + {k2})", f"({n1} + {n2})"
-    term = f"exp({_log_choose(k, 'i')} + {_log_choose(f'({n} - {k})', f'({n2} - i)')} - {_log_choose(n, n2)})"
-    total = lambda lo, hi: F.expr(f"least(1D, aggregate(transform(sequence({lo}, {hi}), i -> {term}), 0D, (a, x) -> a + x))")
+    term = f"exp({_log_choose(k, 'hg_i')} + {_log_choose(f'({n} - {k})', f'({n2} - hg_i)')} - {_log_choose(n, n2)})"
+    total = lambda lo, hi: F.expr(f"least(1D, aggregate(transform(sequence({lo}, {hi}), hg_i -> {term}), 0D, (hg_a, hg_x) -> hg_a + hg_x))")
     return total(k2, f"least({k}, {n2})"), total(f"greatest(0L, {k} - {n1})", k2)
 
 
