@@ -90,10 +90,14 @@ def begg_greenes(q: Column, a: Column, b: Column) -> tuple[Column, Column]:
     return sp / F.nullif(sp + sf, F.lit(0.0)), ff / F.nullif(fp + ff, F.lit(0.0))
 
 
-def decide_check(successes: str, trials: str, errors: str, threshold: str, alpha_fail: str, min_trials: int = 10, max_missing: float = 0.1) -> tuple[Column, Column, Column]:
-    """(status, low, high): PASS on the exact 95 % lower bound, FAIL on an upper bound at alpha_fail, else UNVALIDATED."""
+def check_status(low: Column, fail_high: Column, trials: Column, errors: Column, threshold: Column, min_trials: int = 10, max_missing: float = 0.1) -> Column:
+    """PASS on the exact 95 % lower bound, FAIL on an upper bound at the error budget's alpha, else UNVALIDATED."""
+    gaps = errors > max_missing * (trials + errors)
+    return F.when(gaps | (trials < min_trials), "UNVALIDATED").when(low >= threshold, "PASS").when(fail_high < threshold, "FAIL").otherwise("UNVALIDATED")
+
+
+def decide_check(successes: str, trials: str, errors: str, threshold: str, alpha_fail: str) -> tuple[Column, Column, Column]:
+    """(status, low, high) of one check from its counts."""
     low, high = clopper_pearson(successes, trials)
     fail_high = clopper_pearson(successes, trials, alpha_fail)[1]
-    gaps = F.col(errors) > max_missing * (F.col(trials) + F.col(errors))
-    status = F.when(gaps | (F.col(trials) < min_trials), "UNVALIDATED").when(low >= F.expr(threshold), "PASS").when(fail_high < F.expr(threshold), "FAIL").otherwise("UNVALIDATED")
-    return status, low, high
+    return check_status(low, fail_high, F.col(trials), F.col(errors), F.expr(threshold)), low, high

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelframe.functions.rng import digest
-from gavelframe.functions.stats import clopper_pearson, decide_check, kappa
+from gavelframe.functions.stats import check_status, clopper_pearson, kappa
 
 BARS = {"acceptance": 0.7, "rejection": 0.8, "invariance": 0.8, "stability": 0.8, "human_agreement": 0.4}
 PLAN = ("case_id", "slice", "kind", "family", "repeat", "output")
@@ -117,8 +117,9 @@ def tests(judgments: DataFrame, looks: int = 1) -> DataFrame:
 
 
 def _decided(rows: DataFrame, budget: DataFrame, bar: float) -> DataFrame:
-    status, low, high = decide_check("successes", "trials", "errors", f"{bar}D", "alpha_fail")
-    return rows.join(budget, "judge_id").withColumns({"status": status, "low": low, "high": high, "threshold": F.lit(bar)})
+    low, high = clopper_pearson("successes", "trials")
+    bounds = rows.join(budget, "judge_id").withColumns({"low": low, "high": high, "fail_high": clopper_pearson("successes", "trials", "alpha_fail")[1]})
+    return bounds.withColumns({"status": check_status(F.col("low"), F.col("fail_high"), F.col("trials"), F.col("errors"), F.lit(bar)), "threshold": F.lit(bar)})
 
 
 def _family_check(name: str, families: DataFrame, budget: DataFrame) -> DataFrame:
