@@ -162,7 +162,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
 
     sums = soft.groupBy("kind").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no"))
     cells = soft.select("kind", "w", F.explode("f").alias("f")).groupBy("kind", "f").agg(F.sum("w").alias("y"), F.sum(1 - F.col("w")).alias("n"))
-    ratio = F.log((F.col("y") + SMOOTH) / (F.col("yes") + 2 * SMOOTH)) - F.log((F.col("n") + SMOOTH) / (F.col("no") + 2 * SMOOTH))
+    share = (F.col("yes") + SMOOTH) / (F.col("yes") + F.col("no") + 2 * SMOOTH)
+    ratio = F.log((F.col("y") + SMOOTH * share) / (F.col("n") + SMOOTH * (1 - share))) - F.log(share / (1 - share))  # rare shapes lean to the share of all
     trained = cells.join(sums, "kind").groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("f", ratio))).alias("weights"), F.first(F.log((F.col("yes") + SMOOTH) / (F.col("no") + SMOOTH))).alias("bias"))
     loose = soft.where(~F.col("base") & (F.col("w") >= accept)).join(F.broadcast(trained), "kind")  # shapes have a bounded number of values
     belief = F.col("bias") + F.aggregate("f", F.lit(0.0), lambda a, x: a + F.coalesce(F.element_at("weights", x), F.lit(0.0)))
