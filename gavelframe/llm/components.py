@@ -56,7 +56,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, one_task: int = ON
     """
     a, b = edges.columns[:2]
     clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = scratch.save(clean.mapInArrow(_forest, "u long, v long"), f"{name}-0")
+    e = scratch.save(clean.mapInArrow(_forest, "u long, v long"), f"{name}-0", compact=True)
     if e.count() <= one_task:
         out = scratch.save(e.coalesce(1).mapInArrow(_forest, "u long, v long"), f"{name}-components")
         scratch.drop(f"{name}-0")

@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.components import components
-from gavelframe.llm.storage import Scratch, bounded_batches
+from gavelframe.llm.storage import Scratch, bounded_batches, trim_memory
 
 TABLE = 1 << 20  # most frequent n-grams that are broadcast (12 bytes each)
 MIN_COUNT = 8  # rarer n-grams never enter the table
-ROUNDS = 3
+ROUNDS = 4
 BROADCAST_ROWS = 1_000_000
-FLUSH = 1_000_000
-CHUNK_BYTES = 500_000
+BATCH_ROWS = 64  # a pair of long texts carries two sets of several hundred KB
+FLUSH = 400_000
+CHUNK_BYTES = 200_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -86,7 +87,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_VALUES[data] * up[: len(data)])])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
     return hashes, np.diff(np.searchsorted(starts, offsets))
@@ -208,6 +209,7 @@ def _count_pass(n: int, bits: int):
         if members:
             block = np.concatenate(members)
             yield from _blob_batches([(1 << bits) + (int(block[0, 3]) if turn is None else turn + 1) % (1 << bits)], [block.tobytes()])
+        trim_memory()
 
     return run
 
@@ -299,6 +301,7 @@ def _posting_pass(n: int, bits: int, percent: int, frequent):
                     yield from flush(parts)
                     parts, held = [], 0
         yield from flush(parts)
+        trim_memory()
 
     return run
 
@@ -341,6 +344,7 @@ def _set_pass(n: int):
                     ends = np.cumsum(sizes).tolist()
                     sets = [found[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
                     yield pa.RecordBatch.from_arrays([pa.array(class_keys(found, sizes)), pa.array(sets, pa.binary())], names=["c", "s"])
+        trim_memory()
 
     return run
 
@@ -371,6 +375,7 @@ def _verify_pass(percent: int):
             ok = [similar(np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U), percent) for a, b in zip(x, y)]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        trim_memory()
 
     return run
 
@@ -393,19 +398,23 @@ def _frequent(spark: SparkSession, facts: DataFrame) -> tuple[np.ndarray, np.nda
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, class_id, component_id) of every row; percent is 100 times the similarity."""
+    with bounded_batches(docs.sparkSession, BATCH_ROWS):  # all work in Python is done inside
+        return _joined(docs, key, text, n, percent)
+
+
+def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    bounded_batches(spark)
     bits, n_gram = _buckets(spark), n
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     counted = texts.mapInArrow(_count_pass(n, bits), BLOBS).groupBy("bucket").applyInArrow(_merge_counts(bits), FACTS)
-    facts = scratch.save(counted, "ngram-facts")
+    facts = scratch.save(counted, "ngram-facts", compact=True)
     members = facts.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("m"), "c")
     frequent = spark.sparkContext.broadcast(_frequent(spark, facts))
 
     packed = texts.select("t").mapInArrow(_posting_pass(n, bits, percent, frequent), BLOBS)
-    postings = scratch.save(packed.groupBy("bucket").applyInArrow(_merge_postings, POSTINGS), "ngram-postings")
+    postings = scratch.save(packed.groupBy("bucket").applyInArrow(_merge_postings, POSTINGS), "ngram-postings", compact=True)
 
     owners = members.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
     sets: list[DataFrame] = []
@@ -423,7 +432,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         small = n <= BROADCAST_ROWS
         wanted = texts.join(F.broadcast(chosen) if small else chosen, texts["k"].eqNullSafe(chosen["k"]), "left_semi").select("t")
         made = wanted.mapInArrow(_set_pass(n_gram), "c long, s binary").join(F.broadcast(need) if small else need, "c", "left_semi")
-        sets.append(scratch.save(made, f"ngram-sets-{step}"))
+        sets.append(scratch.save(made, f"ngram-sets-{step}", compact=step > 0))
 
     def verified(pairs: DataFrame, step: int) -> DataFrame:
         pairs = scratch.save(pairs, f"ngram-pairs-{step}")
@@ -433,7 +442,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         known = reduce(DataFrame.unionByName, sets)
         left, right = known.select(F.col("c").alias("a"), F.col("s").alias("x")), known.select(F.col("c").alias("b"), F.col("s").alias("y"))
         rows = left.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a").join(right, "b").select("a", "b", "x", "y")
-        return scratch.save(rows.mapInArrow(_verify_pass(percent), "a long, b long"), f"ngram-links-{step}")
+        return scratch.save(rows.mapInArrow(_verify_pass(percent), "a long, b long"), f"ngram-links-{step}", compact=True)
 
     def passing(a: str, b: str) -> F.Column:
         """Length and positional filter of the postings a and b of one list."""
@@ -459,6 +468,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         graph = components(scratch, links, f"ngram-graph-{step}")
         if step:
             scratch.drop(f"ngram-graph-{step - 1}-components")
+    frequent.destroy()
     scratch.drop("ngram-postings", *(f"ngram-{kind}-{step}" for kind in ("sets", "need", "pairs") for step in range(ROUNDS + 1)))
 
     placed = members.join(graph, F.col("c") == F.col("u"), "left").select("k", "m", "c", F.coalesce("v", "c").alias("g"))

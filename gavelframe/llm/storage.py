@@ -8,11 +8,13 @@ on one machine).
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound the Arrow batches that rows with long texts or sets make; a session setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int, size: str = "16m"):
+    """Bound the Arrow batches of the jobs run inside, for rows with long texts or sets."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def trim_memory() -> None:
+    """Give what a Python worker has freed back to the system; workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Scratch:
@@ -61,10 +79,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, cut its lineage, and return the table read back."""
+    def save(self, df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+        """Write df, cut its lineage, and return the table read back.
+
+        compact: deal the rows anew before writing, so that a small result of many tasks makes few files.
+        """
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        (df.hint("rebalance") if compact else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
         release(self.spark)

@@ -40,6 +40,7 @@ from gavelframe.llm.storage import Scratch, bounded_batches, new_path
 FILE_RECORDS = 1000
 ARCHIVE_BYTES = 1_000_000
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 256
 # The field lines of both ARC versions.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -237,10 +238,14 @@ def read_warc(spark, path: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, path: str | None = None) -> DataFrame:
     """Pages through ARC archives and the converter into WARC files, read back: (key, payload_bytes, payload_digest, record_type, refers_to)."""
     spark = pages.sparkSession
-    bounded_batches(spark)
     scratch = Scratch(spark)
+    with bounded_batches(spark, BATCH_ROWS):
+        return _round_trip(scratch, pages, key, url, html, least, path or new_path(spark, "warc"))
+
+
+def _round_trip(scratch: Scratch, pages: DataFrame, key: str, url: str, html: str, least: int, path: str) -> DataFrame:
+    spark = pages.sparkSession
     records = scratch.save(convert_arc(arc_archives(pages, key, url, html)), "warc-records")
-    path = path or new_path(spark, "warc")
     write_warc(with_revisits(scratch, records, least), path)
     scratch.drop("warc-records", "warc-revisits")
     read = scratch.save(read_warc(spark, path), "warc-read")
