@@ -8,6 +8,7 @@ piece once and then gathers ids from one flat table.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -15,8 +16,6 @@ from itertools import chain
 import numpy as np
 import regex
 
-# A space beside other white space, or at either end of the text: the simple split does not hold.
-_ODD = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -25,9 +24,11 @@ CHUNK_CHARS = 2_000_000
 
 
 def _odd(text: str) -> bool:
+    """Whether a space may stand beside other white space or at an end; True is always safe."""
     if text.isascii() and not any(c in text for c in _ASCII_SPACE):
         return text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text
-    return _ODD.search(text) is not None
+    # as many words as single spaces and line feeds allow: no runs, no other white space
+    return len(text.split()) != text.count(" ") + text.count("\n") + 1
 
 
 def pieces_of(text: str) -> list[str]:
@@ -128,7 +129,7 @@ class TextEncoder:
     that are tokens of their own, wherever they stand, to their ids.  Both memos are bounded.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], piece_chars: int = 3_000_000, word_chars: int = 4_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], piece_chars: int = 5_000_000, word_chars: int = 4_000_000):
         self.words = Memo(self._new_words, word_chars)
         self.pieces = Memo(self._new_pieces, piece_chars)
         self.encode_words, self.added = encode_words, added
@@ -137,20 +138,35 @@ class TextEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
-        self.words.forget()
-        self.pieces.forget()
-        split = [pieces_of(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        for p in split:  # the first piece has no space before it: another key than the same word later on
-            if p:
-                p[0] = (p[0],)
-        ids, lengths = self.pieces.encode(list(chain.from_iterable(split)))
-        return ids, sums(lengths, counts)
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists are made, none in cycles
+        try:
+            self.words.forget()
+            self.pieces.forget()
+            split = [pieces_of(t) for t in texts]
+            counts = np.fromiter(map(len, split), np.int64, len(split))
+            for p in split:  # the first piece has no space before it: another key than the same word later on
+                if p:
+                    p[0] = (p[0],)
+            ids, lengths = self.pieces.encode(list(chain.from_iterable(split)))
+            return ids, sums(lengths, counts)
+        finally:
+            if collecting:
+                gc.enable()
 
     def _new_pieces(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        strings = [f" {k}" if type(k) is str else k[0] for k in keys]
-        special = self.specials is not None and self.specials.search("\n".join(strings))
-        parts = list(map(self._with_added if special else self.pretokens.findall, strings))
+        special = self.specials is not None and self.specials.search("\n".join([k if type(k) is str else k[0] for k in keys]))
+        cut = self._with_added if special else self.pretokens.findall
+        parts: list = []
+        for k in keys:
+            if type(k) is not str:
+                parts.append(cut(k[0]))
+            elif k.isalpha():  # letters only: one pre-token with its space
+                parts.append((" " + k,))
+            elif k[-1:] in (".", ",") and k[:-1].isalpha():
+                parts.append((" " + k[:-1], k[-1]))
+            else:
+                parts.append(cut(" " + k))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         ids, lengths = self.words.encode(list(chain.from_iterable(parts)))
         return ids, sums(lengths, counts)
