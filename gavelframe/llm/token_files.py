@@ -170,7 +170,7 @@ def read_token_files(manifest: DataFrame, width: int = 2, key: str = "doc_id", w
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spread = shards.repartition(F.col("bin"))
+    spread = shards.repartition(max(1, manifest.count()))  # one shard a task
     return spread.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
