@@ -37,7 +37,7 @@ from gavelframe.llm.storage import Scratch, bounded_batches, trim_memory
 
 TABLE = 1 << 20  # most frequent n-grams that are broadcast (12 bytes each)
 MIN_COUNT = 8  # rarer n-grams never enter the table
-ROUNDS = 4
+ROUNDS = 5  # leader rounds before the exhaustive one; cheap next to the pairs they save it
 BROADCAST_ROWS = 1_000_000
 BATCH_ROWS = 64  # a pair of long texts carries two sets of several hundred KB
 FLUSH = 400_000
@@ -421,7 +421,7 @@ def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
 
     def read_sets(pairs: DataFrame, step: int) -> None:
         """Sets of the classes in pairs that are not there yet, from the texts of one document of each."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        need = pairs.select(F.col("a").alias("c")).distinct().union(pairs.select(F.col("b").alias("c")).distinct()).distinct()
         for part in sets:
             need = need.join(part, "c", "left_anti")
         need = scratch.save(need, f"ngram-need-{step}")
