@@ -15,6 +15,8 @@ from gavelframe.llm.queries import VOCABULARY, bpe_digests, held_out
 from gavelframe.llm.storage import Scratch
 
 REJECT_FROM = 0.3
+#: Lines of more words than this are dropped from the second text on.
+LONG_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines whose template recurs; those of which nothing but white space is left go."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    """Documents without lines whose template recurs, or that are long and repeat in two texts; those of which nothing but white space is left go."""
+    cleaned = line_templates.drop_recurring_lines(docs, long_words=LONG_WORDS)
     changed = F.col("n_dropped") > 0
     rest = cleaned.where(~changed | F.col("text").rlike(r"\S"))
     return rest.select(*(F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

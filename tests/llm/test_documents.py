@@ -132,6 +132,15 @@ def test_whole_copies_are_left_alone(spark):
     assert line_templates.drop_recurring_lines(docs).where("n_dropped > 0").count() == 0
 
 
+def test_long_line_of_two_documents_stays_once(spark):
+    passage = " ".join(f"passage{chr(97 + i % 26)} word{chr(97 + i // 26)}" for i in range(26))  # 52 words
+    other = " ".join(f"{i}" for i in range(60))
+    rows = [(1, f"first own line\n{passage}"), (2, f" {passage}\r\nsecond own line"), (2, f" {passage}\r\nsecond own line"), (3, "short line in two texts\nx"), (4, "short line in two texts\ny"), (5, other), (6, other.replace("7", "8"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, SF).collect())
+    assert got == sorted((k, t, len(t)) for k, t in ((k, "second own line" if k == 2 else t) for k, t in rows))
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     got = line_templates.drop_recurring_lines(odd_docs)
     assert got.columns == [*odd_docs.columns, "n_lines", "n_dropped"]
