@@ -478,11 +478,20 @@ def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs but those whose component has a smaller key; of rows repeated as a whole one stays.
+    """One row of every component: the one with the smallest key, then text hash; of rows repeated as a whole one stays.
 
-    Rows with a null key stay.
+    Decided by row, so rows that share a key but no words do not touch each other.  Rows with a null
+    key are compared with each other only: one of each component stays beside the row with a key.
+    Texts without n-grams all stay.
     """
-    joined = ngram_join(docs, key, text, n, percent)
-    gone = joined.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    left = docs.join(gone, key, "left_anti")
-    return left.dropDuplicates()
+    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = docs.withColumn("_row", row)
+    scratch = Scratch(docs.sparkSession)
+    joined = ngram_join(rows.select("_row", text), "_row", text, n, percent).where("n_shingles > 0").select("_row", F.col("component_id").alias("_component")).distinct()
+    order = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col("_row").alias("row"))
+    ordered = rows.select("_row", F.col(key).isNull().alias("_unknown"), order.alias("_order")).distinct()
+    placed = scratch.save(joined.join(ordered, "_row"), "ngram-rows")
+    first = placed.groupBy("_component", "_unknown").agg(F.min("_order").alias("_first")).select(F.col("_first.row").alias("_row"))
+    gone = scratch.save(placed.select("_row").join(first, "_row", "left_anti"), "ngram-gone")
+    left = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "_row", "left_anti")
+    return left.dropDuplicates().drop("_row")

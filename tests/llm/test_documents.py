@@ -204,6 +204,14 @@ def test_join_of_odd_rows(odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1", "2", "3", "4", "None", "5", "7"])
 
 
+def test_one_row_of_each_group_with_repeated_and_null_keys(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    a, b, c, d = words
+    rows = [(3, a, "x"), (5, a + " tail", "x"), (5, b, "x"), (5, b, "x"), (6, c, "x"), (6, c + " tail", "x"), (6, c, "y"), (None, d, "x"), (None, d + " tail", "x"), (None, d + " end", None), (7, None, "x"), (7, None, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "none")[0]) for r in kept) == [("3", "a"), ("5", "b"), ("6", "c"), ("7", "n"), ("7", "n"), ("None", "d")]
+
+
 def test_distributed_components_equal_one_task(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50) if i % 10] + [(100, 3), (7, 100), (60, 60)], "a long, b long")
     scratch = Scratch(spark)
