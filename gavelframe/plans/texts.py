@@ -207,7 +207,7 @@ def hourly_events(spark, sf_dir):
 
 # -- iterative tools, rows only -------------------------------------------------------------
 def disagreement_clusters(spark, sf_dir):
-    """Average-link clusters of the supplier names' character pairs."""
+    """Average-link clusters of the nation names' character pairs; contested items are not clustered yet."""
     rows = load(spark, sf_dir, "nation").orderBy("n_name").select("n_name").collect()  # 25 rows
     sets = [{r[0][i : i + 2] for i in range(len(r[0]) - 1)} for r in rows]
     similar = [[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets]
