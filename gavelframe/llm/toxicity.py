@@ -168,22 +168,47 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
+#: Jaccard similarity of the 5-word runs from which a training row is a near copy.
+NEAR_COPY = 0.75
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint64)
 
 
+def _shingles(words: list[str], n: int = 5) -> np.ndarray:
+    """Hashes of the runs of n words, sorted and distinct; of all words where there are fewer."""
+    codes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    runs = max(1, len(codes) - n + 1)
+    out = np.zeros(runs, np.uint64)
+    for k in range(min(n, len(codes))):
+        out = (out ^ codes[k : k + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of NEAR_COPY or more."""
+    if min(len(a), len(b)) < NEAR_COPY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= NEAR_COPY * (len(a) + len(b) - both)
+
+
 def distinct_rows(folded: list[str]) -> list[int]:
-    """Rows without near copies of earlier ones: a copy repeats one of three pairs of minimal word hashes."""
-    seen: list[set] = [set(), set(), set()]
+    """Rows without near copies of earlier ones: a copy repeats one of three pairs of minimal word hashes and is alike in runs of five words."""
+    seen: list[dict] = [{}, {}, {}]
+    runs: dict[int, np.ndarray] = {}
     out = []
     for i, text in enumerate(folded):
-        hashes = np.fromiter((zlib.crc32(w.encode()) for w in set(_WORD.findall(text)) if len(w) > 4), np.uint64)
+        words = _WORD.findall(text)
+        hashes = np.fromiter((zlib.crc32(w.encode()) for w in set(words) if len(w) > 4), np.uint64)
         if len(hashes):
             low = ((hashes[:, None] * _FACTORS) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
             pairs = [tuple(low[k : k + 2]) for k in (0, 2, 4)]
-            if any(p in s for p, s in zip(pairs, seen)):
+            mine = _shingles(words)
+            if any(_alike(mine, runs[j]) for j in {j for p, s in zip(pairs, seen) for j in s.get(p, ())}):
                 continue
+            runs[i] = mine
             for p, s in zip(pairs, seen):
-                s.add(p)
+                s.setdefault(p, []).append(i)
         out.append(i)
     return out
 

@@ -49,6 +49,19 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.train(odd_docs, labels.limit(0)).terms == dict.fromkeys(toxicity.SEED_TERMS, 1.0)
 
 
+def test_training_rows_that_share_words_are_no_copies():
+    import random
+
+    rng = random.Random(3)
+    common, rows = [f"common{chr(97 + i)}" for i in range(20)], []
+    for i in range(30):
+        words = common + [f"own{chr(97 + i)}{chr(97 + j)}" for j in range(10)]
+        rng.shuffle(words)
+        rows.append(" ".join(words))
+    copies = [r + " more" for r in rows]
+    assert toxicity.distinct_rows(rows + copies + ["", "a b"]) == [*range(30), 60, 61]
+
+
 # -- mixing ---------------------------------------------------------------------------------
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     got = mixing.mix_sources(odd_docs).collect()
