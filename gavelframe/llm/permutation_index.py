@@ -5,7 +5,8 @@ nearest pivots, nearest first.  Rows are dealt into shards; a shard posts its ve
 pivot's rank, to one inverted file a pivot.  A query reads the files of its own nearest pivots
 and accumulates the footrule distance between the two orders (a pivot missing from an order has
 rank ``posted``).  The ``examined`` share of a shard (``LEAST_EXAMINED`` rows at least) with the smallest distance is compared by
-exact cosine, in double precision, and the best of all shards are the answer.
+exact cosine, in double precision, and the best of all shards are the answer.  Vectors of another
+length than the pivots have no order; of them the whole shard is compared.
 
 Every row with a usable vector is indexed; the pivots are a sample of at most ``pivots`` rows.
 Queries are taken in blocks against shards: neither side is ever held whole in one task.
@@ -74,7 +75,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, perms: np.ndarray, query_
     by_pivot = np.argsort(flat, kind="stable")
     files = np.searchsorted(flat[by_pivot], np.arange(pivots + 1)).tolist(), by_pivot // max(1, posted), by_pivot % max(1, posted)
     norms = unit(vectors)
-    quota = min(n, max(4 * k, LEAST_EXAMINED, int(np.ceil(examined * n))))
+    quota = min(n, max(4 * k, LEAST_EXAMINED, int(np.ceil(examined * n)))) if posted else n
     for q, v, p in zip(query_ids.tolist(), unit(query_vectors), query_perms.astype(np.int64).tolist()):
         score = closeness(p, files, n, posted) if posted else np.zeros(n)
         least = np.partition(score, n - quota)[n - quota]

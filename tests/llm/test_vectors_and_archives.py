@@ -100,6 +100,15 @@ def test_footrule():
         assert d == sum(abs(a.get(v, 8) - b.get(v, 8)) for v in {*a, *b})
 
 
+def test_vectors_without_permutations_are_all_compared():
+    rng = np.random.default_rng(5)
+    ids, x = np.arange(1000), rng.standard_normal((1000, 8))
+    x[990:] = x[0] + rng.standard_normal((10, 8)) * 0.01
+    none = np.empty((1000, 0), "<u2")
+    [(q, found, _)] = permutation_index.search_shard(ids, x, none, ids[:1], x[:1], none[:1], 16, 5, 0.12)
+    assert q == 0 and found.min() >= 990 and len(found) == 5
+
+
 def test_index_of_odd_vectors(spark):
     df = spark.createDataFrame(ODD, SCHEMA).selectExpr("*", "1 as id", "'x' as v", "2 as perm")
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in permutation_index.nearest(df, k=2).collect())
