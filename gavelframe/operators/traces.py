@@ -20,9 +20,9 @@ def normalise_spans(spans: DataFrame) -> DataFrame:
 def ancestors(spark: SparkSession, spans: DataFrame, view: str = "_span_parents") -> DataFrame:
     """(trace_id, span_id, depth, root): the chain of parents of every span, cycles cut."""
     spans.select("trace_id", "span_id", "parent_id").createOrReplaceTempView(view)
-    return spark.sql(f"""WITH RECURSIVE up(trace_id, span_id, at, depth, seen) AS (
+    return spark.sql(f"""WITH RECURSIVE up(trace_id, span_id, at, depth, seen) MAX RECURSION LEVEL 1000000000 AS (
         SELECT trace_id, span_id, parent_id, 0, array(span_id) FROM {view}
-        UNION ALL SELECT u.trace_id, u.span_id, p.parent_id, u.depth + 1, array_append(u.seen, p.span_id) FROM up u JOIN {view} p ON u.trace_id = p.trace_id AND u.at = p.span_id WHERE NOT array_contains(u.seen, p.span_id) AND u.depth < 64)
+        UNION ALL SELECT u.trace_id, u.span_id, p.parent_id, u.depth + 1, array_append(u.seen, p.span_id) FROM up u JOIN {view} p ON u.trace_id = p.trace_id AND u.at = p.span_id WHERE NOT array_contains(u.seen, p.span_id))
         SELECT trace_id, span_id, max(depth) AS depth, max_by(seen[size(seen) - 1], depth) AS root FROM up GROUP BY trace_id, span_id""")
 
 

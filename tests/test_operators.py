@@ -60,6 +60,12 @@ def test_ancestors_cut_cycles(spark):
     assert {r.span_id: r.depth for r in traces.ancestors(spark, rows).collect()} == {"a": 1, "b": 1, "c": 2}
 
 
+def test_ancestors_of_a_long_chain(spark):
+    rows = spark.createDataFrame([("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(105)], "trace_id string, span_id string, parent_id string")
+    got = {r.span_id: (r.depth, r.root) for r in traces.ancestors(spark, rows.coalesce(1)).collect()}
+    assert got == {f"s{i}": (i, "s0") for i in range(105)}
+
+
 def test_cache_upsert_keeps_the_newest(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, out string")
     new = spark.createDataFrame([("a", 2, "z")], "k string, v int, out string")
