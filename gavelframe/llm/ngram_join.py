@@ -8,24 +8,30 @@ in any fixed order of all n-grams.  The order used is rare first:
 1. every n-gram of every document is counted (counts of fingerprints, packed by hash range, are
    shuffled; nothing is sampled); the most frequent, at most TABLE of them, form a broadcast
    table of fixed size.  N-grams outside it come first, by hash, then those in it, rarest first;
-2. the prefix of every record is posted by hash range, and lists of one record are dropped;
+2. the prefix of every record is posted by hash range, and lists of one record are dropped; the
+   sets of the records left are written once, each with the number of its n-grams in RANGES hash
+   ranges;
 3. in rounds, every posting list proposes its members to one leader of the list (another leader
-   each round); proposals pass the length and the positional filter, are made distinct, pass a
-   suffix filter (counts by hash range) and are verified once on the whole sets;
-   records that are connected already are not proposed again;
-4. a last round proposes all remaining pairs of a list that are in different components, so no
-   link between different components is missed.
+   each round); proposals pass the length and the positional filter, are made distinct, pass the
+   suffix filter (the two records' counts by hash range bound what they can share) and are
+   verified once on the whole sets.  Records that are connected already are not proposed again,
+   nor pairs that were rejected, and lists whose members are all connected go;
+4. once a round of leaders connects little, a last round proposes all remaining pairs of a list
+   that are in different components, so no link between different components is missed.
+
+Classes are told apart by one 64-bit hash and checked by a second: if two different sets ever
+shared the first, the whole join starts again with other hashes.
 
 Defined results: null and empty texts, and texts of white space only, have an empty set and
 link with nothing (their component is their own id).  Repeated rows are each returned.  Rows
 with a null key are returned and take part, but a component is named after its smallest
-non-null key.  Other columns are ignored.  Classes are told apart by 64-bit hashes.
+non-null key.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.components import components
-from gavelframe.llm.storage import Scratch, bounded_batches, trim_memory
+from gavelframe.llm.storage import Scratch, bounded_batches, fresh, trim_memory
 
 TABLE = 1 << 20  # most frequent n-grams that are broadcast (12 bytes each)
 MIN_COUNT = 8  # rarer n-grams never enter the table
-ROUNDS = 5  # leader rounds before the exhaustive one; cheap next to the pairs they save it
-BROADCAST_ROWS = 1_000_000
+ROUNDS = 5  # leader rounds before the exhaustive one, at most
+YIELD = 0.2  # links a proposal of a leader round that make another one worth while
+BROADCAST_ROWS = 1_000_000  # rows of one or two 64-bit numbers
+RANGES = 256
 BATCH_ROWS = 64  # a pair of long texts carries two sets of several hundred KB
 FLUSH = 400_000
 CHUNK_BYTES = 200_000
@@ -119,10 +127,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return out[keep], full
 
 
-def class_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def class_keys(sets: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
     """One hash for each set, from a sum over its members; sets must not be empty."""
     starts = np.cumsum(sizes) - sizes
-    return mix(np.add.reduceat(mix(sets ^ _U(0x5851F42D4C957F2D)), starts) + sizes.astype(_U)).view(np.int64)
+    salt = mix(np.array([seed], _U))[0] ^ _U(0x5851F42D4C957F2D)
+    return mix(np.add.reduceat(mix(sets ^ salt), starts) + sizes.astype(_U)).view(np.int64)
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -166,8 +175,8 @@ def _blob_batches(buckets: list[int], blobs: list[bytes]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + 2_000], pa.int32()), pa.array(blobs[i : i + 2_000], pa.binary())], schema=_BLOB_SCHEMA)
 
 
-def _count_pass(n: int, bits: int):
-    """Packed counts of fingerprints by hash range, and packed (key, class, size) of documents."""
+def _count_pass(n: int, bits: int, seed: int):
+    """Packed counts of fingerprints by hash range, and packed (key, known, size, class, check) of documents."""
 
     def flush(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sets:
@@ -191,10 +200,11 @@ def _count_pass(n: int, bits: int):
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in _texts(batch.column(1)):
                 found, sizes = shingle_sets(data, offsets, n)
-                classes = np.zeros(len(sizes), np.int64)
+                classes, checks = np.zeros((2, len(sizes)), np.int64)
                 if len(found):
-                    classes[sizes > 0] = class_keys(found, sizes[sizes > 0])
-                members.append(np.stack([ids[a:b], known[a:b].astype(np.int64), sizes, classes]).T)
+                    classes[sizes > 0] = class_keys(found, sizes[sizes > 0], seed)
+                    checks[sizes > 0] = class_keys(found, sizes[sizes > 0], seed + 1)
+                members.append(np.stack([ids[a:b], known[a:b].astype(np.int64), sizes, classes, checks]).T)
                 sets.append(found)
                 held += len(found)
                 if held > FLUSH:
@@ -214,18 +224,19 @@ def _count_pass(n: int, bits: int):
     return run
 
 
-FACTS = "kind int, a long, b long, c long"
+FACTS = "kind int, a long, b long, c long, d long"
 
 
 def _merge_counts(bits: int):
-    """Facts of one hash range: kind 0 (fingerprint, count) of the frequent, kind 1 (key, size, class)."""
+    """Facts of one hash range: kind 0 (fingerprint, count) of the frequent, kind 1 (key, size, class, check)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         blobs = [memoryview(b.as_buffer()) for chunk in table.column("blob").chunks for b in chunk]
         if bucket >= 1 << bits:
-            rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in blobs])
-            return pa.table({"kind": np.ones(len(rows), np.int32), "a": pa.array(rows[:, 0], mask=rows[:, 1] == 0), "b": rows[:, 2], "c": pa.array(rows[:, 3], mask=rows[:, 2] == 0)})
+            rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 5) for b in blobs])
+            empty = rows[:, 2] == 0
+            return pa.table({"kind": np.ones(len(rows), np.int32), "a": pa.array(rows[:, 0], mask=rows[:, 1] == 0), "b": rows[:, 2], "c": pa.array(rows[:, 3], mask=empty), "d": pa.array(rows[:, 4], mask=empty)})
         low, counts = [], []
         for blob in blobs:
             size, more = np.frombuffer(blob, np.uint32, 2).tolist()
@@ -241,7 +252,7 @@ def _merge_counts(bits: int):
         total, low = np.add.reduceat(counts, starts), low[starts]
         keep = total >= MIN_COUNT
         fingerprints = low[keep].astype(np.int64) + (bucket << 32)
-        return pa.table({"kind": np.zeros(len(fingerprints), np.int32), "a": fingerprints, "b": total[keep], "c": pa.nulls(len(fingerprints), pa.int64())})
+        return pa.table({"kind": np.zeros(len(fingerprints), np.int32), "a": fingerprints, "b": total[keep], "c": pa.nulls(len(fingerprints), pa.int64()), "d": pa.nulls(len(fingerprints), pa.int64())})
 
     return run
 
@@ -251,7 +262,7 @@ def prefix_length(size: int | np.ndarray, percent: int):
     return size - (percent * size + 99) // 100 + 1
 
 
-def _posting_pass(n: int, bits: int, percent: int, frequent):
+def _posting_pass(n: int, bits: int, percent: int, seed: int, frequent):
     """Packed postings (n-gram, class, size, position) of every record's prefix, by hash range."""
 
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +289,7 @@ def _posting_pass(n: int, bits: int, percent: int, frequent):
                 if not len(found):
                     continue
                 sizes = sizes[sizes > 0]
-                classes = class_keys(found, sizes)
+                classes = class_keys(found, sizes, seed)
                 key = (found >> _U(32 - bits)).astype(np.int64)
                 at = np.searchsorted(fingerprints, key)
                 at[at == len(fingerprints)] = 0
@@ -332,35 +343,43 @@ def _merge_postings(table: pa.Table) -> pa.Table:
     return pa.table({"h": h[listed].view(np.int64), "c": c[listed], "m": m[listed].astype(np.int32), "p": p[listed].astype(np.int32)})
 
 
-def _set_pass(n: int):
-    """(class, set as sorted little-endian 64-bit hashes) of every text."""
+def _set_pass(n: int, seed: int):
+    """(class, sketch, set): sets are sorted little-endian 64-bit hashes, sketches their 16-bit counts by hash range; a class once a partition."""
+    bounds = (np.arange(1, RANGES, dtype=_U) << _U(64 - RANGES.bit_length() + 1)).astype(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in _texts(batch.column(0)):
                 found, sizes = shingle_sets(data, offsets, n)
                 sizes = sizes[sizes > 0]
-                if len(sizes):
-                    ends = np.cumsum(sizes).tolist()
-                    sets = [found[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-                    yield pa.RecordBatch.from_arrays([pa.array(class_keys(found, sizes)), pa.array(sets, pa.binary())], names=["c", "s"])
+                if not len(sizes):
+                    continue
+                ends = np.cumsum(sizes).tolist()
+                rows = [(c, found[a:b]) for c, a, b in zip(class_keys(found, sizes, seed).tolist(), [0, *ends[:-1]], ends) if not (c in seen or seen.add(c))]
+                sketches = [np.minimum(np.diff(np.searchsorted(x, bounds), prepend=0, append=len(x)), 65535).astype("<u2").tobytes() for _, x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array(sketches, pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["c", "k", "s"])
         trim_memory()
 
     return run
 
 
-_RANGES = (np.arange(1, 16, dtype=_U) << _U(60)).astype(_U)
+def needed(x: int | np.ndarray, y: int | np.ndarray, percent: int):
+    """The least intersection of sets of x and y elements with 100 * intersection >= percent * union."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter on rows of sketches: what two sets share is at most the sum of the smaller counts. Counts at their limit bound nothing."""
+    full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+    return full | (np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
+    need = needed(len(x), len(y), percent)
     if min(len(x), len(y)) < need:
         return False
-    # suffix filter: elements whose hash range holds more of them in one set than in the other find no partner
-    counts = np.diff(np.concatenate([[0], np.searchsorted(x, _RANGES), [len(x)]])), np.diff(np.concatenate([[0], np.searchsorted(y, _RANGES), [len(y)]]))
-    if np.minimum(*counts).sum() < need:
-        return False
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
@@ -368,81 +387,112 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
+def _kept(batch: pa.RecordBatch, ok: np.ndarray) -> pa.RecordBatch:
+    mask = pa.array(ok, pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+
+def _suffix_pass(percent: int):
+    """(a, b) of the pairs (a, b, sketch of a, sketch of b) that the suffix filter leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int64) for i in (2, 3))
+            yield _kept(batch, may_reach(x, y, percent))
+
+    return run
+
+
 def _verify_pass(percent: int):
+    """(a, b) of the pairs (a, b, set of a, set of b) that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ok = [similar(np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U), percent) for a, b in zip(x, y)]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield _kept(batch, np.array([similar(np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U), percent) for a, b in zip(batch.column(2), batch.column(3))], bool))
         trim_memory()
 
     return run
 
 
-def _frequent(spark: SparkSession, facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most TABLE of the most frequent fingerprints, sorted, with their counts."""
-    counts = facts.where("kind = 0").groupBy(F.least("b", F.lit(1 << 16)).alias("b")).count().orderBy(F.desc("b"))
-    total, least = 0, None
-    for row in counts.collect():  # one row for each count up to 2^16
+def _frequent(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most TABLE of the most frequent fingerprints, sorted, with their counts.
+
+    Counts are binned by sixteenths of a power of two; of the first bin that does not fit whole, a
+    share by hash enters, so the table is never empty for being too full.
+    """
+    level = F.floor(16 * F.log2(F.col("b").cast("double")))
+    counted = facts.where("kind = 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows
+    total, whole, split, share = 0, [], -1, 0
+    for row in counted:
         if total + row["count"] > TABLE:
+            split, share = row["level"], int((TABLE - total) / row["count"] * 0.95 * (1 << 20))
             break
-        total, least = total + row["count"], row["b"]
-    if least is None:
+        total += row["count"]
+        whole.append(row["level"])
+    if not counted:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows = facts.where((F.col("kind") == 0) & (F.col("b") >= least)).select("a", "b").toArrow()
+    part = (level == split) & (F.pmod(F.xxhash64("a"), F.lit(1 << 20)) < share)
+    rows = facts.where((F.col("kind") == 0) & (part if not whole else (level >= min(whole)) | part)).select("a", "b").toArrow()
     a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
     order = np.argsort(a)
-    return a[order], b[order].astype(np.int32)
+    return a[order], np.minimum(b[order], np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A saved table of one or two numbers a row, marked for broadcast up to BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, class_id, component_id) of every row; percent is 100 times the similarity."""
     with bounded_batches(docs.sparkSession, BATCH_ROWS):  # all work in Python is done inside
-        return _joined(docs, key, text, n, percent)
+        for seed in range(0, 8, 2):
+            out = _joined(docs, key, text, n, percent, seed)
+            if out is not None:
+                return out
+    raise RuntimeError("different sets had equal hashes four times over")
 
 
-def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int, seed: int) -> DataFrame | None:
+    """The join; None if two different sets share a class."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    bits, n_gram = _buckets(spark), n
+    bits = _buckets(spark)
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
-    counted = texts.mapInArrow(_count_pass(n, bits), BLOBS).groupBy("bucket").applyInArrow(_merge_counts(bits), FACTS)
+    counted = texts.mapInArrow(_count_pass(n, bits, seed), BLOBS).groupBy("bucket").applyInArrow(_merge_counts(bits), FACTS)
     facts = scratch.save(counted, "ngram-facts", compact=True)
-    members = facts.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("m"), "c")
-    frequent = spark.sparkContext.broadcast(_frequent(spark, facts))
-
-    packed = texts.select("t").mapInArrow(_posting_pass(n, bits, percent, frequent), BLOBS)
+    members = facts.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("m"), "c", "d")
+    owners = scratch.save(members.where("c is not null").groupBy("c").agg(F.min("k").alias("k"), F.min("d").alias("d"), F.max("d").alias("e")), "ngram-owners", compact=True)
+    if not owners.where("d <> e").isEmpty():
+        scratch.drop(*list(scratch.paths))
+        return None
+    frequent = spark.sparkContext.broadcast(_frequent(facts))
+
+    packed = texts.select("t").mapInArrow(_posting_pass(n, bits, percent, seed, frequent), BLOBS)
     postings = scratch.save(packed.groupBy("bucket").applyInArrow(_merge_postings, POSTINGS), "ngram-postings", compact=True)
+    frequent.destroy()
 
-    owners = members.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
-    sets: list[DataFrame] = []
-
-    def read_sets(pairs: DataFrame, step: int) -> None:
-        """Sets of the classes in pairs that are not there yet, from the texts of one document of each."""
-        need = pairs.select(F.col("a").alias("c")).distinct().union(pairs.select(F.col("b").alias("c")).distinct()).distinct()
-        for part in sets:
-            need = need.join(part, "c", "left_anti")
-        need = scratch.save(need, f"ngram-need-{step}")
-        n = need.count()
-        if not n:
-            return
-        chosen = owners.join(need, "c", "left_semi").select("k").distinct()
-        small = n <= BROADCAST_ROWS
-        wanted = texts.join(F.broadcast(chosen) if small else chosen, texts["k"].eqNullSafe(chosen["k"]), "left_semi").select("t")
-        made = wanted.mapInArrow(_set_pass(n_gram), "c long, s binary").join(F.broadcast(need) if small else need, "c", "left_semi")
-        sets.append(scratch.save(made, f"ngram-sets-{step}", compact=step > 0))
+    listed = scratch.save(postings.select("c").distinct(), "ngram-listed", compact=True)
+    chosen = scratch.save(owners.join(listed, "c", "left_semi").select("k").distinct(), "ngram-chosen", compact=True)
+    wanted = texts.join(_small(chosen.where("k is not null")), "k", "left_semi").select("t")
+    if not chosen.where("k is null").isEmpty():
+        wanted = wanted.unionByName(texts.where("k is null").select("t"))
+    made = wanted.mapInArrow(_set_pass(n, seed), "c long, k binary, s binary").join(_small(listed), "c", "left_semi")
+    sets = scratch.save(made, "ngram-sets")
+    if sets.count() != listed.count():  # rows that share a key, in several partitions
+        sets = scratch.save(sets.dropDuplicates(["c"]), "ngram-sets-once")
+        scratch.drop("ngram-sets")
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        """pairs (a, b) with a column of sets for a and for b, of which only the rows in pairs are moved."""
+        ends = [pairs.select(F.col(e).alias("c")).distinct() for e in "ab"]
+        left, right = (sets.select("c", column).join(_small(e), "c", "left_semi").select(F.col("c").alias(name), F.col(column).alias(value)) for e, name, value in zip(ends, "ab", "xy"))
+        return _small(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def verified(pairs: DataFrame, step: int) -> DataFrame:
-        pairs = scratch.save(pairs, f"ngram-pairs-{step}")
-        read_sets(pairs, step)
-        if not sets:
-            return pairs
-        known = reduce(DataFrame.unionByName, sets)
-        left, right = known.select(F.col("c").alias("a"), F.col("s").alias("x")), known.select(F.col("c").alias("b"), F.col("s").alias("y"))
-        rows = left.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a").join(right, "b").select("a", "b", "x", "y")
-        return scratch.save(rows.mapInArrow(_verify_pass(percent), "a long, b long"), f"ngram-links-{step}", compact=True)
+        hopeful = scratch.save(beside(pairs, "k").mapInArrow(_suffix_pass(percent), "a long, b long"), f"ngram-hopeful-{step}", compact=True)
+        return scratch.save(beside(hopeful, "s").mapInArrow(_verify_pass(percent), "a long, b long"), f"ngram-links-{step}", compact=True)
 
     def passing(a: str, b: str) -> F.Column:
         """Length and positional filter of the postings a and b of one list."""
@@ -450,31 +500,44 @@ def _joined(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
         rest = F.least(F.expr(f"{a}.m - {a}.p"), F.expr(f"{b}.m - {b}.p"))
         return (F.least(f"{a}.m", f"{b}.m") >= need) & (rest >= need) & (F.col(f"{a}.g") != F.col(f"{b}.g"))
 
-    links, graph = None, None
-    for step in range(ROUNDS + 1):
-        now = postings.withColumn("g", F.col("c")) if graph is None else postings.join(graph, F.col("c") == F.col("u"), "left").select("h", "c", "m", "p", F.coalesce("v", "c").alias("g"))
-        now = scratch.save(now, f"ngram-now-{step}")
+    now, links, tried, step, last = postings.withColumn("g", F.col("c")), None, None, 0, False
+    while True:
         record = F.struct("c", "m", "p", "g")
-        if step < ROUNDS:  # a list's members against one leader
+        if last:  # a list's members outside its largest component against all
+            sizes = now.groupBy("h", "g").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("g", F.struct("n", "g")).alias("most"))
+            other = now.join(sizes, "h").where("g <> most").select("h", record.alias("y"))
+        else:  # a list's members against one leader
             other = now.groupBy("h").agg(F.min_by(record, F.xxhash64("c", F.lit(step)) if step == 0 else F.xxhash64("c", "h", F.lit(step))).alias("y"))
-        else:  # a list's members outside its largest component against all
-            sizes = now.groupBy("h", "g").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("g", F.struct("n", "g")).alias("most"), F.count("*").alias("groups"))
-            other = now.join(sizes.where("groups > 1"), "h").where("g <> most").select("h", record.alias("y"))
         proposed = now.select("h", record.alias("x")).join(other, "h").where(passing("x", "y"))
         pairs = proposed.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        pairs = scratch.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"ngram-pairs-{step}", compact=True)
         found = verified(pairs, step)
-        scratch.drop(f"ngram-now-{step}")
         links = found if links is None else links.unionByName(found)
         graph = components(scratch, links, f"ngram-graph-{step}")
-        if step:
-            scratch.drop(f"ngram-graph-{step - 1}-components")
-    frequent.destroy()
-    scratch.drop("ngram-postings", *(f"ngram-{kind}-{step}" for kind in ("sets", "need", "pairs") for step in range(ROUNDS + 1)))
-
-    placed = members.join(graph, F.col("c") == F.col("u"), "left").select("k", "m", "c", F.coalesce("v", "c").alias("g"))
-    names = placed.where("g is not null").groupBy("g").agg(F.min("k").alias("component_id"))
-    classes = members.where("c is not null").groupBy("c").agg(F.min("k").alias("class_id"))
-    return placed.join(names, "g", "left").join(classes, "c", "left").select(F.col("k").alias(key), F.col("m").alias("n_shingles"), F.coalesce("class_id", "k").alias("class_id"), F.coalesce("component_id", "k").alias("component_id"))
+        if last:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        last = step + 1 >= ROUNDS or found.count() < YIELD * pairs.count()
+        # lists whose members are still apart
+        labelled = now.drop("g").join(graph, F.col("c") == F.col("u"), "left").select("h", "c", "m", "p", F.coalesce("v", "c").alias("g"))
+        labelled = scratch.save(labelled, f"ngram-labelled-{step}")
+        apart = labelled.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
+        now = scratch.save(labelled.join(apart, "h", "left_semi"), f"ngram-now-{step}")
+        scratch.drop("ngram-postings", f"ngram-labelled-{step}", f"ngram-graph-{step}-components", f"ngram-now-{step - 1}")
+        step += 1
+
+    # decided by class, so that what is joined to the rows is one line a class
+    classes = owners.join(graph, F.col("c") == F.col("u"), "left").select("c", F.col("k").alias("class_id"), F.coalesce("v", "c").alias("g"))
+    names = scratch.save(classes.groupBy("g").agg(F.min("class_id").alias("component_id")), "ngram-names")
+    classes = scratch.save(classes.join(names, "g").select("c", "class_id", "component_id"), "ngram-classes")
+    placed = members.join(classes, "c", "left").select(F.col("k").alias(key), F.col("m").alias("n_shingles"), F.coalesce("class_id", "k").alias("class_id"), F.coalesce("component_id", "k").alias("component_id"))
+    return scratch.result(placed, "ngram-joined")
+
+
+def row_hash(docs: DataFrame) -> F.Column:
+    """A 64-bit hash of a whole row, nulls apart from values; maps are hashed as their sorted entries."""
+    value = lambda f: F.to_json(F.struct(F.array_sort(F.map_entries(f"`{f.name}`")))) if "map<" in f.dataType.simpleString() and f.dataType.typeName() == "map" else F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*(value(f) for f in docs.schema.fields), *(F.col(f"`{f.name}`").isNull() for f in docs.schema.fields))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -484,14 +547,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     key are compared with each other only: one of each component stays beside the row with a key.
     Texts without n-grams all stay.
     """
-    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    rows = docs.withColumn("_row", row)
+    row = fresh(docs.columns, "_row")
+    rows = docs.withColumn(row, row_hash(docs))
     scratch = Scratch(docs.sparkSession)
-    joined = ngram_join(rows.select("_row", text), "_row", text, n, percent).where("n_shingles > 0").select("_row", F.col("component_id").alias("_component")).distinct()
-    order = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col("_row").alias("row"))
-    ordered = rows.select("_row", F.col(key).isNull().alias("_unknown"), order.alias("_order")).distinct()
-    placed = scratch.save(joined.join(ordered, "_row"), "ngram-rows")
-    first = placed.groupBy("_component", "_unknown").agg(F.min("_order").alias("_first")).select(F.col("_first.row").alias("_row"))
-    gone = scratch.save(placed.select("_row").join(first, "_row", "left_anti"), "ngram-gone")
-    left = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "_row", "left_anti")
-    return left.dropDuplicates().drop("_row")
+    joined = ngram_join(rows.select(row, text), row, text, n, percent).where("n_shingles > 0").select(F.col(row).alias("r"), F.col("component_id").alias("component")).distinct()
+    order = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(row).alias("row"))
+    ordered = rows.select(F.col(row).alias("r"), F.col(key).isNull().alias("unknown"), order.alias("order")).distinct()
+    placed = scratch.save(joined.join(ordered, "r"), "ngram-rows")
+    first = placed.groupBy("component", "unknown").agg(F.min("order").alias("first")).select(F.col("first.row").alias("r"))
+    gone = scratch.save(placed.select(F.col("r").alias(row)).join(first.withColumnRenamed("r", row), row, "left_anti"), "ngram-gone", compact=True)
+    scratch.drop("ngram-rows")
+    return rows.join(_small(gone), row, "left_anti").dropDuplicates([row]).drop(row)

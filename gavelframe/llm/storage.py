@@ -1,18 +1,19 @@
 """Tables and files that every executor can reach.
 
 Everything that outlives one Spark job goes below ``spark.checkpoint.dir``; that setting is
-read from the session and replaced by a temporary folder only where nobody has set it (tests
-on one machine).
+read from the session and replaced by a temporary folder only where nobody has set it and
+everything runs on one machine (tests); on a cluster without it, operators refuse to run.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="gavelframe-")
@@ -46,24 +49,40 @@ def remove(spark: SparkSession, *paths: str) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def remove_all(spark: SparkSession) -> None:
+    """Delete everything this application left in the shared folder, results that are still read included."""
+    remove(spark, f"{shared_dir(spark)}/gavelframe/{spark.sparkContext.applicationId}")
+
+
+_SETTINGS_LOCK = threading.RLock()
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession, rows: int, size: str = "16m"):
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Run jobs under other session settings; one operator of the process at a time, so that two never see each other's."""
+    with _SETTINGS_LOCK:
+        before = {name: spark.conf.get(name, None) for name in values}
+        try:
+            for name, value in values.items():
+                spark.conf.set(name, value)
+            yield
+        finally:
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "4m"):
     """Bound the Arrow batches of the jobs run inside, for rows with long texts or sets."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {name: spark.conf.get(name) for name in names}
-    try:
-        for name, value in names.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size})
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """name, or name with a number behind it, that none of columns has (case aside)."""
+    taken, out, i = {c.lower() for c in columns}, name, 0
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}_{i}"
+    return out
 
 
 def trim_memory() -> None:
@@ -83,12 +102,24 @@ class Scratch:
         """Write df, cut its lineage, and return the table read back.
 
         compact: deal the rows anew before writing, so that a small result of many tasks makes few files.
+        The shuffle files of the job go as soon as it has ended.
         """
         path = new_path(self.spark, name)
-        (df.hint("rebalance") if compact else df).write.parquet(path)
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            (df.hint("rebalance") if compact else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
-        release(self.spark)
+        return out
+
+    def save_bounded(self, df: DataFrame, name: str, rows: int = 256, size: str = "4m") -> DataFrame:
+        """save() with small Arrow batches: Python stages hold a few texts at a time, not thousands."""
+        with bounded_batches(self.spark, rows, size):
+            return self.save(df, name)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """save(), and drop every other table of this run: what is left is what the caller reads."""
+        out = self.save(df, name)
+        self.drop(*(n for n in list(self.paths) if n != name))
         return out
 
     def drop(self, *names: str) -> None:
