@@ -4,7 +4,8 @@
 cuts texts into pre-tokens, puts the symbols of many new words into one flat array and runs
 merge rounds over all of them at once: in a round every unfinished word merges all occurrences
 of its lowest-rank adjacent pair, found by binary search over the sorted pair keys.  Decoding
-gathers token bytes from one flat table.
+gathers token bytes from one flat table.  The memos of a worker are bounded in characters, so that
+two workers fit beside a full executor heap; smaller ones cost time, never results.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to ''.
 Repeated rows give equal results.  Texts of any length are encoded whole; strings of added
@@ -36,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class BytePairCodec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, piece_chars: int = 2_000_000, word_chars: int = 500_000):
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
         letters = byte_letters()
@@ -61,7 +62,7 @@ class BytePairCodec:
         self.pair_keys = keys[order]
         self.pair_ranks = order.astype(np.int32)
         self.pair_results = np.fromiter((vocab[a + b] for a, b in pairs), np.int64, len(pairs))  # by rank
-        self.texts = TextEncoder(lambda words: self.encode_words([w.encode() for w in words]), self.added)
+        self.texts = TextEncoder(lambda words: self.encode_words([w.encode() for w in words]), self.added, piece_chars, word_chars)
 
     # -- encoding ---------------------------------------------------------------------------
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -140,7 +141,8 @@ def codec(path: str) -> BytePairCodec:
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token_ids array<int>, decoded string) of every row: ids of the whole text, and their decoding.
 
-    One pass over the rows without a shuffle; memory is bounded by a chunk of texts.
+    One pass over the rows without a shuffle; memory is bounded by a chunk of texts.  Evaluate it
+    under ``storage.bounded_batches`` (``Scratch.save_bounded``) where texts are long.
     """
     source = docs.select(F.col(key), F.col(text).alias("text_in"))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])

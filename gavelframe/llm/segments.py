@@ -20,7 +20,7 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def _odd(text: str) -> bool:
@@ -129,7 +129,7 @@ class TextEncoder:
     that are tokens of their own, wherever they stand, to their ids.  Both memos are bounded.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], piece_chars: int = 5_000_000, word_chars: int = 4_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], piece_chars: int = 5_000_000, word_chars: int = 2_000_000):
         self.words = Memo(self._new_words, word_chars)
         self.pieces = Memo(self._new_pieces, piece_chars)
         self.encode_words, self.added = encode_words, added
@@ -157,19 +157,28 @@ class TextEncoder:
     def _new_pieces(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         special = self.specials is not None and self.specials.search("\n".join([k if type(k) is str else k[0] for k in keys]))
         cut = self._with_added if special else self.pretokens.findall
-        parts: list = []
-        for k in keys:
+        whole, parts, single = [], [], np.zeros(len(keys), bool)
+        for i, k in enumerate(keys):
             if type(k) is not str:
                 parts.append(cut(k[0]))
-            elif k.isalpha():  # letters only: one pre-token with its space
-                parts.append((" " + k,))
+            elif k.isalpha():  # letters only: one pre-token with its space, remembered as a piece already
+                single[i] = True
+                whole.append(" " + k)
             elif k[-1:] in (".", ",") and k[:-1].isalpha():
                 parts.append((" " + k[:-1], k[-1]))
             else:
                 parts.append(cut(" " + k))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         ids, lengths = self.words.encode(list(chain.from_iterable(parts)))
-        return ids, sums(lengths, counts)
+        if not whole:
+            return ids, sums(lengths, counts)
+        more, sizes = self.encode_words(whole)
+        out = np.empty(len(keys), np.int64)
+        out[~single], out[single] = sums(lengths, counts), sizes
+        starts = np.empty(len(keys), np.int64)
+        starts[~single] = np.cumsum(out[~single]) - out[~single]
+        starts[single] = len(ids) + np.cumsum(sizes) - sizes
+        return flatten(np.concatenate([ids, more]), starts, out), out
 
     def _with_added(self, text: str) -> list:
         """Pre-tokens; an added token is its id."""
