@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm import bpe, embedding_dedup, line_templates, mixing, ngram_join, permutation_index, pii, token_files, toxicity, warc
+from gavelframe.llm.storage import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,7 +27,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=held_out)
     scored = toxicity.score(docs.select("doc_id", "text"), lexicon)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"), F.col("toxicity_terms").alias("terms"))
+    out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"), F.col("toxicity_terms").alias("terms"))
+    return Scratch(spark).save_bounded(out, "toxicity-scores", 1000)
 
 
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY))
+    return saved_digests(bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 def bpe_digests(rows: DataFrame) -> DataFrame:
@@ -47,6 +49,11 @@ def bpe_digests(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def saved_digests(rows: DataFrame) -> DataFrame:
+    """bpe_digests, written with small batches."""
+    return Scratch(rows.sparkSession).save_bounded(bpe_digests(rows), "bpe-digests")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 

@@ -4,21 +4,24 @@ Texts are folded first: lower case, accents off, letters of other scripts and di
 like Latin letters replaced (only inside words).  The lexicon is learned from labelled rows:
 terms are whole words and word beginnings, weighted by the smoothed log odds of their document
 frequencies in toxic and clean texts, and terms that clean texts hold about as often are not
-taken; starting terms too rare to be learned keep a weight below the usual one; near copies of a text count once.  Phrases that hold a term but stand mostly in clean texts become exceptions, beside the
-ones given.  One automaton finds terms and exceptions in one pass over a whole text; a term
-inside an exception does not count.
+taken; near copies of a text count once.  Phrases that hold a term but stand mostly in clean
+texts become exceptions, beside the ones given.  One automaton finds terms and exceptions in one
+pass over a whole text; a term inside an exception does not count.
 
 The score is logistic in two length-normalised sums of the weights found: their sum over the
-square root of the number of words, and over the logarithm of that number.  Its three
+square root of the number of words, and over the logarithm of that number.  Words are runs of
+letters and digits, so white space and punctuation do not dilute a score.  Its three
 coefficients are fitted on the same labelled rows.
 
-Sampling: at most ``max_rows`` labelled rows are used, the ones with the smallest hash of their
-key; with fewer, all are.  Scoring covers every row and whole texts.
+Sampling: at most ``max_rows`` labelled keys are used, the ones with the smallest hashes, and of
+their texts as many as ``max_chars`` characters hold; with fewer, all are.  Scoring covers every
+row and whole texts.
 
 Defined results: null and empty texts hold no term and get the score of a text without terms;
-repeated rows get equal scores.  Without labelled rows, or with labels of one kind only, the
-lexicon is ``SEED_TERMS``, and the score rises from 0.05 with the sums.  Labels other than 0 and
-1 (nulls too) are not used; of repeated keys in the labels the largest label counts.
+repeated rows get equal scores.  Without labelled rows, with labels of one kind only, or without
+a term that is sure enough, the lexicon is empty and every score is 0.05.  Labels other than 0 and 1 (nulls too) are not used; of
+repeated keys in the labels the largest label counts, and the smallest text of a key is the one
+that trains.
 """
 
 from __future__ import annotations
@@ -38,16 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavelframe.llm.storage import bounded_batches, fresh, trim_memory
+
 MAX_ROWS = 10_000
+MAX_CHARS = 60_000_000
 MIN_DOCS = 4  # toxic training texts that must hold a term
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings that can be terms
 MAX_TERMS = 4_000
 
-# Look-alikes of Latin letters, digits and signs that stand for letters, a starting lexicon and phrases that clear a term.
+# Look-alikes of Latin letters, digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ⅼ": "l", "ø": "o", "ł": "l", "đ": "d"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash")
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "trash bag", "clown fish", "clownfish", "sore loser", "pathetic fallacy")
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -91,7 +95,7 @@ class Lexicon:
     """Terms (a trailing star: any word that begins so) with weights, exception phrases, coefficients."""
 
     terms: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     coefficients: tuple[float, float, float] = (math.log(0.05 / 0.95), 1.0, 1.0)
     cache: dict = field(default_factory=dict, compare=False, repr=False)
 
@@ -116,8 +120,10 @@ class Lexicon:
 
     def sums(self, text: str) -> tuple[float, int, int]:
         """(sum of the weights found, terms found, words) of a whole text."""
-        folded = fold(text)
-        words = 1 + folded.count(" ") + folded.count("\n")
+        return self.folded_sums(fold(text))
+
+    def folded_sums(self, folded: str) -> tuple[float, int, int]:
+        words = max(1, len(_WORD.findall(folded)))
         if not self.automaton.kind == ahocorasick.AHOCORASICK:
             return 0.0, 0, words
         found: dict[int, tuple[int, float]] = {}  # the best term at each word beginning
@@ -213,24 +219,38 @@ def distinct_rows(folded: list[str]) -> list[int]:
     return out
 
 
-def learn(texts: list[str], labels: list[int]) -> Lexicon:
-    """A lexicon from whole labelled texts; near copies of a text count once."""
-    folded = [fold(t) for t in texts]
+def _document_counts(folded: list[str], labels: list[int]) -> tuple[dict[str, list[int]], int]:
+    """[clean, toxic] texts that hold each feature of at least MIN_DOCS toxic texts, and the number of features of toxic texts."""
+    toxic: dict[str, int] = {}
+    for text, label in zip(folded, labels):
+        if label:
+            for f in features(text):
+                toxic[f] = toxic.get(f, 0) + 1
+    counts = {f: [0, n] for f, n in toxic.items() if n >= MIN_DOCS}
+    seen = len(toxic)
+    del toxic
+    for text, label in zip(folded, labels):
+        if not label:
+            for f in features(text):
+                if f in counts:
+                    counts[f][0] += 1
+    return counts, seen
+
+
+def learn(folded: list[str], labels: list[int], exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from whole labelled texts, folded; near copies of a text count once."""
     kept = distinct_rows(folded)
-    texts, labels, folded = [texts[i] for i in kept], [labels[i] for i in kept], [folded[i] for i in kept]
+    labels, folded = [labels[i] for i in kept], [folded[i] for i in kept]
     y = np.array(labels, float)
     positive, negative = int(y.sum()), int(len(y) - y.sum())
     if not positive or not negative:
-        return Lexicon(dict.fromkeys(SEED_TERMS, 1.0))
-    counts: dict[str, list[int]] = {}
-    for text, label in zip(folded, labels):
-        for f in features(text):
-            counts.setdefault(f, [0, 0])[label] += 1
-    share, need = positive / len(y), math.log(len(counts) + 1) + 3  # evidence in nats, corrected for the number of candidates
+        return Lexicon({}, exceptions)
+    counts, n_features = _document_counts(folded, labels)
+    share, need = positive / len(y), math.log(n_features + 1) + 3  # evidence in nats, corrected for the number of candidates
     evidence, scored = {}, {}
     for term, (clean, toxic) in counts.items():
         rate, base, part = (toxic + 0.5) / (positive + 1), (clean + 0.5) / (negative + 1), toxic / max(1, toxic + clean)
-        if toxic < MIN_DOCS or part <= share or rate <= 8 * base:
+        if part <= share or rate <= 8 * base:
             continue
         found = toxic * math.log(part / share) + (clean * math.log((1 - part) / (1 - share)) if clean else 0.0)
         if found >= need:
@@ -242,64 +262,79 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
         wider = term.endswith("*") and any(c.startswith(stem) and counts[c][1] >= 0.9 * counts[term][1] for c in chosen)
         if not covered and not wider:
             chosen[term] = scored[term]
-    usual = 0.8 * float(np.median(list(chosen.values()))) if chosen else 1.0
-    for term in SEED_TERMS:  # too rare in these rows to be learned, and not shown to be clean
-        clean, toxic = counts.get(term, (0, 0))
-        if term not in chosen and clean <= toxic:
-            chosen[term] = usual
+    if not chosen:
+        return Lexicon({}, exceptions)
     # phrases of a term and a neighbour that stand in clean texts
-    draft = Lexicon(chosen, EXCEPTIONS)
+    draft = Lexicon(chosen, exceptions)
     phrases: dict[str, list[int]] = {}
-    for text, label in zip(texts, labels):
-        if not draft.sums(text)[1]:
+    for text, label in zip(folded, labels):
+        if not draft.folded_sums(text)[1]:
             continue
-        words = _WORD.findall(fold(text))
+        words = _WORD.findall(text)
         hits = {i for i, w in enumerate(words) if w in chosen or any(w[:n] + "*" in chosen for n in PREFIXES)}
         for p in {f"{words[j]} {words[j + 1]}" for i in hits for j in (i - 1, i) if 0 <= j < len(words) - 1}:
             phrases.setdefault(p, [0, 0])[label] += 1
-    learned = tuple(sorted(p for p, (clean, toxic) in phrases.items() if clean >= MIN_DOCS and clean > 8 * toxic))
-    draft = Lexicon(chosen, EXCEPTIONS + learned)
-    sums = np.array([draft.sums(t) for t in texts], float)
+    exceptions += tuple(sorted(p for p, (clean, toxic) in phrases.items() if clean >= MIN_DOCS and clean > 8 * toxic))
+    draft = Lexicon(chosen, exceptions)
+    sums = np.array([draft.folded_sums(t) for t in folded], float)
     beta = _fit(np.column_stack([sums[:, 0] / np.sqrt(sums[:, 2]), sums[:, 0] / (1 + np.log(sums[:, 2]))]), y)
     beta[1:] = np.maximum(beta[1:], 0)
     if not beta[1:].any():
         beta[2] = 1.0
-    return Lexicon(chosen, EXCEPTIONS + learned, tuple(beta.tolist()))
+    return Lexicon(chosen, exceptions, tuple(beta.tolist()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, held_out=None) -> DataFrame:
-    """(text, label) of at most max_rows labelled rows that held_out (a condition on the key) leaves."""
+    """(k, t, y): one text of each of at most max_rows labelled keys that held_out (a condition on the key) leaves."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     if held_out is not None:
         marks = marks.where(~held_out(F.col("k")))
     chosen = marks.orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").select("k", "t", "y")
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, held_out=None) -> Lexicon:
-    """A lexicon learned in one task from at most max_rows labelled rows."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("t", "ascending")])
-        lexicon = learn([t or "" for t in table.column("t").to_pylist()], table.column("y").to_pylist())
-        terms = list(lexicon.terms.items())
-        return pa.table({"terms": pa.array([[t for t, _ in terms]], pa.list_(pa.string())), "weights": pa.array([[w for _, w in terms]], pa.list_(pa.float64())), "exceptions": pa.array([list(lexicon.exceptions)], pa.list_(pa.string())), "coefficients": pa.array([list(lexicon.coefficients)], pa.list_(pa.float64()))})
-
-    rows = training_rows(docs, labels, key, text, label, max_rows, held_out)
-    made = rows.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "terms array<string>, weights array<double>, exceptions array<string>, coefficients array<double>").first()
-    if made is None:
-        return Lexicon(dict.fromkeys(SEED_TERMS, 1.0))
-    return Lexicon(dict(zip(made["terms"], made["weights"])), tuple(made["exceptions"]), tuple(made["coefficients"]))
-
-
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", prefix: str = "toxicity") -> DataFrame:
-    """docs with <prefix>_score (0 to 1) and <prefix>_terms (terms found); columns of these names are replaced."""
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, held_out=None, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon learned in one task from at most max_rows labelled texts of max_chars together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded, marks, size = [], [], 0
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size += len(text)
+                if size <= max_chars:
+                    folded.append(fold(text))
+                    marks.append(y)
+        if folded:
+            lexicon = learn(folded, marks, exceptions)
+            terms = list(lexicon.terms.items())
+            values = [[t for t, _ in terms]], [[w for _, w in terms]], [list(lexicon.exceptions)], [list(lexicon.coefficients)]
+            kinds = pa.string(), pa.float64(), pa.string(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(k)) for v, k in zip(values, kinds)], names=["terms", "weights", "exceptions", "coefficients"])
+        folded.clear()
+        trim_memory()
+
+    rows = training_rows(docs, labels, key, text, label, max_rows, held_out).repartition(1).sortWithinPartitions(F.xxhash64("k"), "k")
+    with bounded_batches(docs.sparkSession):
+        made = rows.select("t", "y").mapInArrow(run, "terms array<string>, weights array<double>, exceptions array<string>, coefficients array<double>").first()
+    return Lexicon({}, exceptions) if made is None else Lexicon(dict(zip(made["terms"], made["weights"])), tuple(made["exceptions"]), tuple(made["coefficients"]))
+
+
+def scorer(lexicon: Lexicon):
+    """A function of a text column: struct of score (0 to 1) and terms (terms found)."""
 
     @F.pandas_udf("score double, terms long")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([lexicon.score(t or "") for t in part], columns=["score", "terms"])
 
-    name = f"_{prefix}"
-    out = docs.withColumn(name, scored(F.col(text)))
-    return out.withColumn(f"{prefix}_score", F.col(f"{name}.score")).withColumn(f"{prefix}_terms", F.col(f"{name}.terms")).drop(name)
+    return scored
+
+
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", prefix: str = "toxicity") -> DataFrame:
+    """docs with <prefix>_score and <prefix>_terms; columns of these two names are replaced, no others."""
+    names = [f"{prefix}_score", f"{prefix}_terms"]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    both = fresh(docs.columns, "_scored")
+    found = docs.select("*", scorer(lexicon)(F.col(text)).alias(both))
+    return found.select(*(F.col(f"`{c}`") for c in kept), F.col(f"{both}.score").alias(names[0]), F.col(f"{both}.terms").alias(names[1]))
