@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,18 @@ def sample_vectors(rows: DataFrame, key: str, vector: str, count: int) -> np.nda
     return unit(np.array(unique, float))
 
 
+def sample_by_length(rows: DataFrame, key: str, vector: str, count: int, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each of the lengths, at most count different unit vectors among the 4 * count rows of that length with the smallest hashes of their keys."""
+    if not lengths:
+        return {}
+    good = rows.where(usable(vector)).select(F.size(vector).alias("dim"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key).alias("h")).where(F.col("dim").isin(lengths))
+    first = good.withColumn("rn", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("rn") <= 4 * count)
+    found: dict[int, dict] = {}
+    for r in first.orderBy("dim", "rn").select("dim", "v").collect():
+        found.setdefault(r["dim"], {})[tuple(r["v"])] = None
+    return {dim: unit(np.array(list(x)[:count], float)) for dim, x in found.items()}
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, safely for very large and very small components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
