@@ -1,16 +1,24 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
-A unit vector is rotated by a random orthogonal matrix (padded to BITS dimensions) and coded by
-the signs; beside the code stands its correction factor, the inner product of the vector with
-its own code.  For another vector y, (code . rotated y) / factor is an unbiased estimate of the
-cosine, and the factor gives a confidence bound on its error.  Pairs whose upper bound is
-below the threshold are settled; all others are computed exactly, in double precision.
+A unit vector is rotated by a random orthogonal matrix and coded by the signs, one bit a
+component; beside the code stands its correction factor, the inner product of the vector with its
+own code.  For another vector y, (code . rotated y) / factor is an unbiased estimate of the
+cosine, in single precision, and the factor gives a confidence bound on its error.  Pairs whose
+upper bound is below the threshold are settled; all others are computed exactly, in double
+precision.
+
+The bound is ``confidence`` standard errors.  At the usual 4.5 a pair that links is lost with a
+chance of at most 3.4 in a million, and only if its cosine is hardly above the threshold; with
+``confidence=math.inf`` every pair is computed exactly and none can be lost.
 
 Only vectors of one label (and one length) are compared.  Equal vectors are first made one
 record with a multiplicity.  Records are dealt to cells by their nearest pivot, and cells to
-blocks of bounded size; a pair of cells whose pivots are too far apart for any link, by the
-triangle inequality on angles, is skipped.  A pair of blocks returns one number of links a
-record and a spanning forest of its links, so nothing grows with the square of a group.
+blocks of bounded size; a label has one cell for every BLOCK_ROWS rows, up to CELLS.  A pair of
+cells whose pivots are too far apart for any link, by the triangle inequality on angles, is
+skipped.  Clustered vectors therefore cost little more than their own blocks, but vectors spread
+evenly over a space of many dimensions cost the square of their label, as nothing can be skipped.
+A pair of blocks returns one number of links a record and a spanning forest of its links, so
+nothing that is moved grows with the square of a group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, rows with
 a null label and rows with a null key link with nothing; repeated rows link with each other;
@@ -31,17 +39,16 @@ from gavelframe.llm.components import components, roots
 from gavelframe.llm.storage import Scratch
 from gavelframe.llm.vectors import matrix, sample_vectors, unit, usable
 
-BITS = 256
 #: Standard errors of the estimate within which a pair is recomputed.
 CONFIDENCE = 4.5
-CELLS = 64
+CELLS = 1024
 BLOCK_ROWS = 2048
 SEED = 20240521
 
 
 def rotation(dim: int) -> np.ndarray:
-    """The first dim rows of a random orthogonal matrix of max(BITS, dim), rounded up to whole bytes."""
-    width = -(-max(BITS, dim) // 8) * 8
+    """The first dim rows of a random orthogonal matrix of dim columns, rounded up to whole bytes."""
+    width = -(-dim // 8) * 8
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((width, width)))
     return (q * np.sign(np.diag(r)))[:dim]
 
@@ -59,8 +66,17 @@ def estimate(codes: np.ndarray, factors: np.ndarray, turned: np.ndarray) -> tupl
     return (signs @ turned.T.astype(np.float32)) / factors[:, None], np.sqrt((1 - np.minimum(factors, 1) ** 2) / (factors**2 * max(1, width - 1)))
 
 
+def linked_exactly(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors with a cosine of at least threshold, all of them computed."""
+    step = max(1, (1 << 22) // max(1, y.size))
+    parts = [np.nonzero((x[i : i + step, None, :] * y[None, :, :]).sum(axis=2) >= threshold) for i in range(0, len(x), step)]
+    return np.concatenate([a + i * step for i, (a, _) in enumerate(parts)]), np.concatenate([b for _, b in parts])
+
+
 def linked(x: np.ndarray, y: np.ndarray, codes: np.ndarray, factors: np.ndarray, turn: np.ndarray, threshold: float, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of x, row of y) of unit vectors with a cosine of at least threshold; codes and factors are x's."""
+    if np.isinf(confidence):
+        return linked_exactly(x, y, threshold)
     guess, error = estimate(codes, factors, y @ turn)
     a, b = np.nonzero(guess + confidence * error[:, None] >= threshold)
     keep = np.concatenate([(x[a[i : i + 100_000]] * y[b[i : i + 100_000]]).sum(axis=1) >= threshold for i in range(0, len(a), 100_000)] or [np.empty(0, bool)])
@@ -91,7 +107,7 @@ def _code_pass(pivots: np.ndarray):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, confidence: float):
     """Link counts (a, null, n) and forest edges (a, b, null) of one pair of blocks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -108,7 +124,7 @@ def _compare(threshold: float):
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(left), 512):
             at = left[i : i + 512]
-            a, b = linked(x[at], x[right], codes[at], factors[at], turn, threshold)
+            a, b = linked(x[at], x[right], codes[at], factors[at], turn, threshold, confidence)
             a, b = at[a], right[b]
             if first == second:
                 a, b = a[a < b], b[a < b]
@@ -125,14 +141,16 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, confidence: float = CONFIDENCE) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     spark = rows.sparkSession
     scratch = Scratch(spark)
     good = rows.where(usable(vector) & F.col(label).isNotNull() & F.col(key).isNotNull())
     source = good.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.size(vector).alias("dim"), F.col(vector).cast("array<double>").alias("v"))
-    pivots = sample_vectors(rows.where(F.col(key).isNotNull()), key, vector, CELLS)
-    sizes = source.groupBy("label", "dim").agg(F.least(F.lit(max(1, len(pivots))), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("cells"))
+    sizes = scratch.save(source.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("wanted")), "code-sizes", compact=True)
+    most = min(CELLS, sizes.agg(F.max("wanted")).first()[0] or 1)
+    pivots = sample_vectors(rows.where(F.col(key).isNotNull()), key, vector, most)
+    sizes = sizes.select("label", "dim", F.least(F.lit(max(1, len(pivots))), F.col("wanted")).alias("cells"))
     coded = scratch.save(source.join(sizes, ["label", "dim"]).mapInArrow(_code_pass(pivots), "id long, label string, dim int, digest binary, v binary, code binary, factor double, cell int"), "codes")
 
     group = ["label", "dim"]
@@ -156,20 +174,22 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     cells = radii.groupBy(*group, "cell").agg(F.max("angle").alias("angle"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     cells = scratch.save(cells, "code-cells")  # at most CELLS rows a label and length
 
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
-    far = F.lit(0.0) if not len(pivots) else F.element_at(F.array(*(F.array(*map(F.lit, map(float, row))) for row in apart)), F.col("x.cell") + 1)[F.col("y.cell")]
     reach = float(np.arccos(threshold)) + 1e-9
-    pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.cell") <= F.col("y.cell"))).where(F.col("x.angle") + F.col("y.angle") + reach >= far)
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
+    i, j = np.triu_indices(len(apart))
+    between = spark.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32), "far": apart[i, j]}))  # at most CELLS * (CELLS + 1) / 2 rows
+    pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.cell") <= F.col("y.cell")))
+    pairs = pairs.join(between, (F.col("x.cell") == F.col("i")) & (F.col("y.cell") == F.col("j"))).where(F.col("x.angle") + F.col("y.angle") + reach >= F.col("far"))
     both = pairs.select("x.label", "x.dim", F.explode(F.array(F.struct(F.col("x.cell").alias("cell"), F.col("y.cell").alias("other"), F.col("y.parts").alias("other_parts")), F.struct(F.col("y.cell").alias("cell"), F.col("x.cell").alias("other"), F.col("x.parts").alias("other_parts")))).alias("p")).select("label", "dim", "p.*").distinct()
     placed = classes.join(cells.select(*group, "cell", "parts"), [*group, "cell"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     name = lambda cell, part: F.col(cell).cast("long") * (1 << 32) + F.col(part)
     dealt = placed.join(both, [*group, "cell"]).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     dealt = dealt.select(*group, "c", "n", "v", "code", "factor", name("cell", "part").alias("block"), F.least(name("cell", "part"), name("other", "other_part")).alias("one"), F.greatest(name("cell", "part"), name("other", "other_part")).alias("two"))
-    found = scratch.save(dealt.groupBy(*group, "one", "two").applyInArrow(_compare(threshold), "a long, b long, n long"), "code-links")
+    found = scratch.save(dealt.groupBy(*group, "one", "two").applyInArrow(_compare(threshold, confidence), "a long, b long, n long"), "code-links")
 
     graph = components(scratch, found.where("b is not null").select("a", "b"), "code-graph")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     done = classes.select(*group, "digest", "c", "n").join(counts, F.col("c") == F.col("a"), "left").join(graph, F.col("c") == F.col("u"), "left").select(*group, "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("v", "c").alias("component_id"))
     linked_rows = coded.select("id", *group, "digest").join(done, [*group, "digest"]).select(F.col("id").alias(key), "n_links", "component_id")
     alone = rows.where(~usable(vector) | F.col(label).isNull() | F.col(key).isNull()).select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"))
-    return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return scratch.result(linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))), "code-rows")
