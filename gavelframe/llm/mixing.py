@@ -29,7 +29,8 @@ from gavelframe.llm.storage import Scratch
 BLOCK = 64
 WEIGHTS = (1, 2, 3)
 CAP = 3
-BUCKETS = 1024
+BUCKETS = 1024  # at least; more where a bucket of all rows would hold over BUCKET_ROWS
+BUCKET_ROWS = 100_000
 RANGE = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 #: floor(2^32 / golden ratio), odd: i * PHI mod 2^32 are the golden-ratio points in 32-bit fixed point.
@@ -79,7 +80,8 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK, cap: int = CAP)
 def shuffled(sized: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     """sized with start: words of the source before the document, in the order of the hashes of keys."""
     hashed = sized.withColumn("h", F.md5(F.concat_ws("|", F.coalesce(F.col("source"), F.lit("")), F.col(key).cast("string"))))
-    hashed = hashed.withColumn("bucket", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
+    # a bucket is a range of hashes, so that the order does not depend on their number
+    hashed = hashed.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets, 32))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     bases = sums.select("source", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", key, "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,16 +95,17 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     counted = docs.select(F.col(key), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     sized = scratch.save(counted, "mix-sizes")
     targets = scratch.save(source_targets(sized, weights, cap), "mix-targets")
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     takes = schedule(targets, total, block, cap).groupBy("source", "block").agg(F.count("*").alias("times"))
-    placed = scratch.save(shuffled(sized, key), "mix-placed")
+    placed = scratch.save(shuffled(sized, key, max(BUCKETS, -(-rows // BUCKET_ROWS))), "mix-placed")
     # a document with words starts where no other one does: (source, start) tells it
     parts = placed.where("size > 0").select("source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("p.block") + 1) * block) - F.greatest(F.col("start"), F.col("p.block") * block)
     taken = parts.alias("p").join(takes.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).select("p.source", "start", (words * F.col("times")).alias("n")).groupBy("source", "start").agg(F.sum("n").alias("taken"))
     joined = placed.alias("d").join(taken.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.start") == F.col("k.start")) & (F.col("size") > 0), "left")
     joined = joined.select(f"d.{key}", F.col("d.source").alias("source"), "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return joined.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(key, "d.source", "size", "source_size", "target", "taken")
+    out = joined.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(key, "d.source", "size", "source_size", "target", "taken")
+    return scratch.result(out, "mix-taken")
 
 
 ORACLE_SQL = r"""
@@ -133,7 +136,7 @@ WITH sized AS (
 ), hashed AS (
   SELECT *, md5(concat_ws('|', coalesce(source, ''), doc_id::VARCHAR)) AS h FROM sized
 ), placed AS (
-  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || h[1:8])::BIGINT % 1024, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM hashed
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM hashed
 ), parts AS (
   SELECT doc_id, source, start, size, unnest(range((start // 64)::BIGINT, ((start + size - 1) // 64 + 1)::BIGINT)) AS block FROM placed WHERE size > 0
 ), taken AS (
