@@ -13,9 +13,13 @@ labeler is right, without labels.  The resulting probabilities are the soft labe
 Bayes span classifier on the shape of a candidate.  A loose candidate becomes a span if both the
 vote posterior and the classifier are at least ``accept`` sure, and it touches no base span.
 
+Bounds of the looser candidates: local parts of written-out addresses hold at most 64 characters
+and their hosts six labels, as mail allows; base spans have no bounds.
+
 Offsets are code points, ends exclusive.
 
-Defined results: null and empty texts have no spans.  Repeated rows give equal results.  Spans
+Defined results: null and empty texts have no spans.  Repeated rows give equal results, and rows
+that share a key are told apart by their texts.  Spans
 of one kind do not overlap; base spans are always kept.  Other columns are ignored.
 """
 
@@ -149,8 +153,8 @@ def label_model(judged: DataFrame) -> DataFrame:
     return _em(judged.groupBy("kind", "v").agg(F.count("*").alias("n")))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """(key, base, spans) of every row: arrays of (kind number, start, end), base ones and all."""
+def located(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """(k, t, base, spans) of every different (key, text hash) with spans: arrays of (kind number, start, end), base ones and all."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(candidates(docs, key, text), "pii-candidates")
     by_kind = lambda f: F.coalesce(*(F.when(F.col("kind") == i, f(kind)) for i, kind in enumerate(KINDS)))
@@ -175,9 +179,20 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
     spans = base.withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False)))
     span = F.struct("kind", "start", "end")
     per_text = spans.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return scratch.result(per_text, "pii-spans")
+
+
+def _beside(docs: DataFrame, found: DataFrame, key: str, text: str, *extra: F.Column) -> DataFrame:
+    """One row for every row of docs: its key, extra columns, base and spans."""
     nothing = F.expr("cast(array() as array<struct<kind int, start bigint, `end` bigint>>)")
-    rows = docs.select(F.col(key), F.xxhash64(text).alias("_t"))
-    return rows.join(per_text, rows[key].eqNullSafe(per_text["k"]) & (F.col("_t") == F.col("t")), "left").select(rows[key], F.coalesce("base", nothing).alias("base"), F.coalesce("spans", nothing).alias("spans"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), *extra)
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("t")), "left")
+    return joined.select(F.col("id").alias(key), *(c for c in rows.columns if c not in ("id", "h")), F.coalesce("base", nothing).alias("base"), F.coalesce("spans", nothing).alias("spans"))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """(key, base, spans) of every row: arrays of (kind number, start, end), base ones and all."""
+    return _beside(docs, located(docs, key, text, accept), key, text)
 
 
 def spans_text(spans: F.Column) -> F.Column:
@@ -188,9 +203,9 @@ def spans_text(spans: F.Column) -> F.Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """(key, text) with every span replaced by its kind in brackets; overlapping spans are cut at the one before."""
-    found = find(docs, key, text, accept)
+    rows = _beside(docs, located(docs, key, text, accept), key, text, F.col(text).alias("x"))
     names = F.array(*map(F.lit, KINDS))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).distinct().join(found.distinct(), F.col("k").eqNullSafe(F.col(key)))
     pieces = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substring(F.col("x"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")).alias("out"), s["end"].alias("at"))))
-    return rows.withColumn("p", pieces).select(F.col("k").alias(key), F.concat("p.out", F.substring(F.col("x"), (F.col("p.at") + 1).cast("int"), F.lit(2147483647))).alias("text"))
+    rest = F.substring(F.col("x"), (F.col("p.at") + 1).cast("int"), F.lit(2147483647))
+    return rows.withColumn("p", pieces).select(key, F.when(F.size("spans") == 0, F.col("x")).otherwise(F.concat("p.out", rest)).alias("text"))
