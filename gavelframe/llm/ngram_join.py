@@ -43,8 +43,8 @@ from gavelframe.llm.storage import Scratch, bounded_batches, fresh, trim_memory
 
 TABLE = 1 << 20  # most frequent n-grams that are broadcast (12 bytes each)
 MIN_COUNT = 8  # rarer n-grams never enter the table
-ROUNDS = 5  # leader rounds before the exhaustive one, at most
-YIELD = 0.2  # links a proposal of a leader round that make another one worth while
+ROUNDS = 10  # leader rounds before the exhaustive one, at most
+YIELD = 0.005  # links a proposal of a leader round that make another one worth while
 BROADCAST_ROWS = 1_000_000  # rows of one or two 64-bit numbers
 RANGES = 256
 BATCH_ROWS = 64  # a pair of long texts carries two sets of several hundred KB
