@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +47,45 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     lexicon = toxicity.train(odd_docs, labels)
     assert toxicity.score(odd_docs, lexicon).where("toxicity_score between 0 and 1").count() == odd_docs.count()
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
-    assert toxicity.train(odd_docs, labels.limit(0)).terms == dict.fromkeys(toxicity.SEED_TERMS, 1.0)
+    assert toxicity.train(odd_docs, labels.limit(0)) == toxicity.Lexicon({})
+    clashing = odd_docs.selectExpr("*", "1 as _toxicity", "2 as _scored", "'old' as toxicity_score")
+    got = toxicity.score(clashing, lexicon)
+    assert got.columns == [*odd_docs.columns, "_toxicity", "_scored", "toxicity_score", "toxicity_terms"]
+    assert got.where("_toxicity = 1 and _scored = 2").count() == odd_docs.count()
+
+
+def test_padding_does_not_dilute_a_score():
+    plain = LEXICON.score("you idiot")[0]
+    for padding in (" " * 5000, "\t" * 5000, "\n" * 5000, " . , ! " * 500):
+        assert LEXICON.score("you idiot" + padding)[0] == plain
+
+
+def naive_matches(lexicon, text):
+    """Terms found by trying every term at every place."""
+    folded, alnum = toxicity.fold(text), lambda c: c.isalnum()
+    starts = [i for i in range(len(folded)) if i == 0 or not alnum(folded[i - 1])]
+    end_ok = lambda i: i == len(folded) or not alnum(folded[i]) or folded[i] == "s" and (i + 1 == len(folded) or not alnum(folded[i + 1]))
+    clear = [(i, i + len(p)) for p in lexicon.exceptions for i in starts if folded.startswith(p, i) and end_ok(i + len(p))]
+    total = found = 0
+    for i in starts:
+        fits = [(w, i + len(t.rstrip("*"))) for t, w in lexicon.terms.items() if folded.startswith(t.rstrip("*"), i) and (t.endswith("*") or end_ok(i + len(t)))]
+        if fits:
+            weight, end = max(fits)
+            if not any(a <= i and end <= b for a, b in clear):
+                total, found = total + weight, found + 1
+    return round(total, 9), found
+
+
+def test_automaton_equals_naive_matching():
+    import random
+
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "idiots": 2.5, "id*": 0.5, "trash": 2.0, "veq*": 2.5, "a": 0.25}, ("trash can", "veq day", "a trash"))
+    parts = ["idiot", "1d1ot", "ID", "iԁiot", "trash", "tr4sh", "can", "cans", "veq", "vequa", "day", "a", "s", " ", "  ", "-", "\n", "é", "7", "ａ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        total, found, _ = lexicon.sums(text)
+        assert (round(total, 9), found) == naive_matches(lexicon, text), text
 
 
 def test_training_rows_that_share_words_are_no_copies():
@@ -154,7 +193,29 @@ def test_long_line_of_two_documents_stays_once(spark):
     assert got == sorted((k, t, len(t)) for k, t in ((k, "second own line" if k == 2 else t) for k, t in rows))
 
 
+def test_a_leaf_has_several_templates(spark):
+    first = [f"job alpha beta failed on host {w} at noon sharp today again" for w in ("amber", "blue", "coral", "dusk")]
+    second = [f"job alpha beta {w} went very well and nobody had to care" for w in ("amber", "blue", "coral")]
+    docs = spark.createDataFrame(list(enumerate(first + second)), "doc_id long, text string")
+    dropped = lambda n: [r.n_dropped for r in line_templates.drop_recurring_lines(docs, templates=n).orderBy("doc_id").collect()]
+    assert dropped(1) == [0, 1, 1, 1, 0, 0, 0]
+    assert dropped(2) == [0, 1, 1, 1, 0, 1, 1]
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, line_templates.drop_recurring_lines(docs, long_words=50).collect()))
+    small, groups = rows(), brute([tuple(r) for r in docs.collect()])
+    monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert rows() == small and joined(docs) == groups
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
+    clashing = odd_docs.selectExpr("*", "1 as _t", "2 as _dropped", "3 as n_lines")
+    got = line_templates.drop_recurring_lines(clashing)
+    assert got.columns == [*odd_docs.columns, "_t", "_dropped", "n_lines", "n_dropped"]
+    assert got.where("_t = 1 and _dropped = 2").count() == odd_docs.count()
     got = line_templates.drop_recurring_lines(odd_docs)
     assert got.columns == [*odd_docs.columns, "n_lines", "n_dropped"]
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted((r.doc_id or -1, r.text or "") for r in odd_docs.collect())
@@ -225,6 +286,39 @@ def test_one_row_of_each_group_with_repeated_and_null_keys(spark):
     assert sorted((str(r.doc_id), (r.text or "none")[0]) for r in kept) == [("3", "a"), ("5", "b"), ("6", "c"), ("7", "n"), ("7", "n"), ("None", "d")]
 
 
+def test_full_bin_of_frequent_ngrams(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    facts = spark.createDataFrame([(0, i, 9, None, None) for i in range(500)] + [(0, 1000, 90, None, None)], ngram_join.FACTS)
+    for size, least in ((400, 320), (1, 1), (2000, 501)):
+        monkeypatch.setattr(ngram_join, "TABLE", size)
+        keys, counts = ngram_join._frequent(facts)
+        assert least <= len(keys) <= size and (len(keys) == 1 or 1000 in keys) and (np.diff(keys) > 0).all() and set(counts) <= {9, 90}
+        if size == 400:
+            assert joined(docs) == brute([tuple(r) for r in docs.collect()])
+
+
+def test_sets_that_share_a_class_start_the_join_again(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    want, seeds, real = brute([tuple(r) for r in docs.collect()]), [], ngram_join._joined
+    monkeypatch.setattr(ngram_join, "_joined", lambda *a: None if seeds.append(a[-1]) or len(seeds) < 2 else real(*a))
+    assert joined(docs) == want and seeds == [0, 2]
+
+
+def test_suffix_filter_loses_no_pair():
+    rng = np.random.default_rng(1)
+    bounds = (np.arange(1, ngram_join.RANGES, dtype=np.uint64) << np.uint64(56)).astype(np.uint64)
+    sketch = lambda x: np.diff(np.searchsorted(x, bounds), prepend=0, append=len(x))[None, :]
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.75, 0.9, 1.0])], rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.int64).astype(np.uint64)]))
+        assert ngram_join.may_reach(sketch(x), sketch(y), 75)[0] or not ngram_join.similar(x, y, 75)
+
+
+def test_rows_with_maps_are_told_apart(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'one two' AS text, map('a', 1) AS m UNION ALL SELECT 1L, 'one two', map('a', 1) UNION ALL SELECT 1L, NULL, map('a', 1) UNION ALL SELECT 1L, NULL, map('a', 2)")
+    assert ngram_join.keep_one(docs).count() == 3
+
+
 def test_distributed_components_equal_one_task(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50) if i % 10] + [(100, 3), (7, 100), (60, 60)], "a long, b long")
     scratch = Scratch(spark)
@@ -260,5 +354,10 @@ def test_pipeline_takes_odd_rows(spark, odd_docs, no_docs, tmp_path):
     for docs in (odd_docs, no_docs):
         out = docs
         for name, stage in corpus_pipeline.STAGES:
-            out = Scratch(spark).save(stage(spark, out, str(tmp_path)), f"odd-{name}")
-        assert out.count() >= 0
+            out = Scratch(spark).save(stage(spark, out.selectExpr("*", "1 as _row", "2 as _t", "3 as _toxicity") if name != "bpe" and "_row" not in out.columns else out, str(tmp_path)), f"odd-{name}")
+            if name == "near_duplicates":
+                kept = sorted(str(r.doc_id) for r in out.collect())
+                assert kept == (["0", "1", "2", "3", "4", "5", "7", "None"] if docs is odd_docs else [])
+            assert name == "bpe" or out.where("not (_row = 1 and _t = 2 and _toxicity = 3)").isEmpty()
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(out.columns)
+        assert (out.count() > 0) == (docs is odd_docs)

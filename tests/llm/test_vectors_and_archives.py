@@ -1,7 +1,10 @@
 """Permutation index, embedding near-dedup and WARC."""
 
 import base64
+import collections
+import gzip
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -28,10 +31,12 @@ def cosines(rows):
     return x @ x.T
 
 
-def test_near_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("confidence, block_rows", [(4.5, 2048), (4.5, 20), (math.inf, 64)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, confidence, block_rows):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block_rows)  # several cells and blocks a label
     rows = near_rows()
     rows += [(1000 + i, rows[0][1], rows[0][2]) for i in range(40)]  # a group of copies
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), confidence=confidence).collect()}
     labels = np.array([r[2] for r in rows])
     link = (cosines(rows) >= 0.93) & (labels[:, None] == labels[None, :])
     np.fill_diagonal(link, False)
@@ -72,18 +77,24 @@ def test_near_dedup_of_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_index_recall(spark):
-    rows = near_rows(900)
-    got = permutation_index.nearest(spark.createDataFrame(rows, SCHEMA), is_query=lambda k: k % 20 == 0).collect()
-    c, hits, total = cosines(rows), 0, 0
-    for q in range(0, len(rows), 20):
-        best = [j for j in np.lexsort((np.arange(len(rows)), -c[q])) if j != q][:5]
-        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
-        assert all(abs(s - c[q][v]) < 1e-12 for _, v, s in mine)
-        hits += len(set(best) & {v for _, v, _ in mine})
-        total += 5
-    assert hits / total >= 0.9
+def test_index_recall_of_every_length_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(permutation_index, "SHARD_BYTES", 900 * 64 * 8)
+    monkeypatch.setattr(permutation_index, "QUERY_ROWS", 16)
+    sides = near_rows(2000), [(10_000 + k, v, n) for k, v, n in near_rows(1200, dim=32, seed=7)], [(20_000 + k, v, n) for k, v, n in near_rows(100, dim=3, seed=8)]
+    df = spark.createDataFrame([r for side in sides for r in side], SCHEMA)
+    got = collections.defaultdict(list)
+    for r in permutation_index.nearest(df, is_query=lambda k: k % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for side in sides:
+        c, hits, total, first = cosines(side), 0, 0, side[0][0]
+        for q in range(0, len(side), 20):
+            best = [first + j for j in np.lexsort((np.arange(len(side)), -c[q])) if j != q][:5]
+            mine = sorted(got[first + q])
+            assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
+            assert all(abs(s - c[q][v - first]) < 1e-12 for _, v, s in mine)
+            hits += len(set(best) & {v for _, v, _ in mine})
+            total += 5
+        assert hits / total >= 0.9
 
 
 def test_footrule():
@@ -105,7 +116,7 @@ def test_vectors_without_permutations_are_all_compared():
     ids, x = np.arange(1000), rng.standard_normal((1000, 8))
     x[990:] = x[0] + rng.standard_normal((10, 8)) * 0.01
     none = np.empty((1000, 0), "<u2")
-    [(q, found, _)] = permutation_index.search_shard(ids, x, none, ids[:1], x[:1], none[:1], 16, 5, 0.12)
+    [(q, found, _)] = permutation_index.Shard(ids, x, none, 16).search(ids[:1], x[:1], none[:1], 5, 0.12)
     assert q == 0 and found.min() >= 990 and len(found) == 5
 
 
@@ -116,17 +127,56 @@ def test_index_of_odd_vectors(spark):
     assert permutation_index.nearest(df.limit(0)).count() == 0
 
 
+ARC = [("http://a/", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n\nhttp://x 0 0 0 3\n"), ("-", "0.0.0.0", "19970101000000", "text/html; charset=x", b"")]
+
+
+@pytest.mark.parametrize("packed", [bytes, gzip.compress, lambda d: gzip.compress(d[:50]) + gzip.compress(d[50:])], ids=["plain", "one member", "two members"])
 @pytest.mark.parametrize("version", [1, 2])
-def test_arc_round_trip(version):
-    records = [("http://a/", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n\nhttp://x 0 0 0 3\n"), ("-", "0.0.0.0", "19970101000000", "text/html", b"")]
-    got = list(warc.parse_arc(warc.write_arc("n.arc", version, records)))
-    assert [(r.url, r.ip, r.date, r.content_type, r.block) for r in got] == records and {r.version for r in got} == {version}
+def test_arc_round_trip(version, packed):
+    about, *got = warc.parse_arc(packed(warc.write_arc("n.arc", version, ARC)))
+    assert about.about and about.version == version
+    assert [(r.url, r.ip, r.date, r.content_type, r.block) for r in got] == ARC and {r.version for r in got} == {version}
+
 
+def broken(data):
+    return [r.problem.split(":")[0] if isinstance(r, warc.Broken) else r.url for r in warc.parse_arc(data)]
 
-@pytest.mark.parametrize("data", [b"filedesc://x 0 0 text/plain 9\n1 0 A", b"http://a 0 0 t 3\nabc\n", b"filedesc://x 0 0 text/plain 6\n1 0 A\n\nhttp://a 0 0 3\nabc\n"])
-def test_broken_archives_raise(data):
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(data))
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_broken_records_are_rejected_and_the_rest_is_read(version):
+    good = ("http://b/", "1.2.3.4", "20010203040506", "text/html", b"abc")
+    whole = warc.write_arc("n.arc", version, [("http://a/", "0", "0", "text/html", b"no date"), good, ("http://c/", "0", "20010203040506", "t", b"x"), good])
+    assert broken(whole) == ["filedesc://n.arc", "no date", "http://b/", "http://c/", "http://b/"]
+    assert broken(whole.replace(b"http://c/ 0", b"http://c/")) == ["filedesc://n.arc", "no date", "http://b/", "broken header line", "http://b/"]
+    long = warc.write_arc("n.arc", version, [good, good])
+    first = long.index(b"http://b/")
+    end = long.index(b"\n", first)
+    assert broken(long[: end - 1] + b"99999" + long[end:]) == ["filedesc://n.arc", "the record ends early", "http://b/"]
+    assert broken(b"http://b/ 0 0 t 3\nabc\n") == ["no version block"]
+    assert broken(gzip.compress(long)[:-20])[-1] == "compressed data end early"
+
+
+def test_types_bytes_and_seeking(spark, tmp_path):
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\ncaf\xe9 \xff".encode("latin-1")
+    records = [("http://a/", "1.2.3.4", "20010203040506", "text/html", latin), ("dns:a", "1.2.3.4", "20010203040507", "text/dns", b"20010203 a IN A 1.2.3.4"), ("ftp://a/x", "1.2.3.4", "20010203040508", "image/gif", bytes(range(256))), ("http://b/", "1.2.3.4", "20010203040509", "text/html", latin), ("http://c/", "1.2.3.4", "00000000000000", "text/html", latin)]
+    archives = spark.createDataFrame([("one.arc", warc.write_arc("one.arc", 1, records)), ("two.arc.gz", gzip.compress(warc.write_arc("two.arc", 2, records[:1]))), ("none.arc", None)], "name string, archive binary")
+    scratch = warc.Scratch(spark)
+    rows = scratch.save(warc.convert_arc(archives), "arc-rows")
+    assert [(r.archive, r.problem.split(":")[0]) for r in warc.rejects(rows).collect()] == [("one.arc", "no date")]
+    manifest = scratch.save(warc.write_warc(warc.with_revisits(scratch, rows, order="date"), str(tmp_path / "out"), file_bytes=300), "arc-manifest")
+    read = warc.read_warc(manifest).collect()
+    assert manifest.count() > 2 and sum(m.n_records for m in manifest.collect()) == len(read) == 7
+    kinds = collections.Counter(r.record_type for r in read)
+    assert kinds == {"warcinfo": 2, "response": 2, "revisit": 2, "resource": 1}
+    for r in read:
+        headers, block = warc.read_record(r.file, r.offset)
+        assert headers["warc-record-id"] == r.record_id
+        if r.record_type == "resource":
+            assert block == bytes(range(256)) and headers["content-type"] == "image/gif"
+        if r.uri == "http://a/" and r.record_type == "response":
+            assert block == latin
+        if r.record_type == "revisit":
+            assert block == latin[: latin.index(b"\r\n\r\n") + 4]
 
 
 def test_warc_contract(spark, tmp_path):
