@@ -62,6 +62,12 @@ def clopper_pearson(k: str, n: str, alpha: str = "0.05D") -> tuple[Column, Colum
     return F.expr(f"if({n} = 0, 0D, 1 - {low})"), F.expr(f"if({n} = 0, 1D, {high})")
 
 
+def binomial_cdf(k: str, n: str, p: str) -> Column:
+    """P(X <= k) of a binomial variable, from the incomplete beta function."""
+    inside = incomplete_beta(f"(1 - {p})", f"cast({n} - {k} as double)", f"cast({k} + 1 as double)", n)
+    return F.expr(f"if({k} >= {n} or {p} <= 0, 1D, if({k} < 0 or {p} >= 1, 0D, {inside}))")
+
+
 def kappa(both: str, first_only: str, second_only: str, neither: str) -> Column:
     """Cohen's kappa of a 2x2 table; null when it is undefined."""
     n = F.nullif(F.col(both) + F.col(first_only) + F.col(second_only) + F.col(neither), F.lit(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +26,15 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# Quote and hyphen signs that count as the plain ones, and what a word is.
+_SIGNS = ("’‘‑‐", "''--")
+_TOKEN = r"[a-z][a-z'\-]*[a-z]"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of three letters or more without stop words; hyphenated words stay whole."""
-    plain = F.translate(F.lower(text), "’‘‑‐", "''--")
-    words = F.transform(F.regexp_extract_all(plain, F.lit(r"[a-z][a-z'\-]*[a-z]"), F.lit(0)), lambda w: F.btrim(w, F.lit("'")))
+    plain = F.translate(F.lower(text), *_SIGNS)
+    words = F.transform(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda w: F.btrim(w, F.lit("'")))
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
 
 
@@ -52,13 +60,13 @@ def truncated(text: Column) -> Column:
 
 
 def bumped_number(text: Column) -> Column:
-    """The last number one larger, decimals kept; null without a number."""
+    """The last number one larger, decimals kept; null without a number, or with one of over 37 digits."""
     split = r"(?s)^(.*?)([0-9]+(?:\.[0-9]+)?)([^0-9]*)$"
     number = F.regexp_extract(text, split, 2)
-    decimals = F.length(F.regexp_extract(number, r"\.([0-9]+)$", 1))
-    whole = F.format_string("%d", (number.cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("long"))
-    larger = F.when(decimals == 0, whole).otherwise(F.concat((F.substring_index(number, ".", 1).cast("long") + 1).cast("string"), F.lit("."), F.substring_index(number, ".", -1)))
-    return F.when(number != "", F.concat(F.regexp_extract(text, split, 1), larger, F.regexp_extract(text, split, 3)))
+    whole = F.substring_index(number, ".", 1)
+    larger = (F.when(F.length(whole) <= 37, whole).cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("string")
+    changed = F.concat(larger, F.substring(number, F.length(whole) + 1, F.length(number)))
+    return F.when(number != "", F.concat(F.regexp_extract(text, split, 1), changed, F.regexp_extract(text, split, 3)))
 
 
 def flipped_yes_no(text: Column) -> Column:
@@ -88,3 +96,53 @@ def iban_valid(text: Column) -> Column:
     value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
     rest = F.aggregate(chars, F.lit(0), lambda r, c: ((F.when(value(c) > 9, r * 100).otherwise(r * 10) + value(c)) % 97).cast("int"))
     return text.rlike(r"^[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}$") & (rest == 1)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences and lines of a text, without those of white space only."""
+    parts = F.split(text, r"(?<=[.!?])\s+|\n+")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
+def clauses(rubric: Column) -> Column:
+    """Clauses of a rubric: its lines and sentences, list marks taken off."""
+    return F.filter(F.transform(sentences(rubric), lambda c: F.regexp_replace(c, r"^(?:[-*•]|\d+[.)])\s+", "")), lambda c: c != "")
+
+
+def is_prose(text: Column) -> Column:
+    """Three words or more, two of them of letters."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) >= 2)
+
+
+def map_prose(fields: Column, change) -> Column:
+    """A map with its prose values changed; null where none is prose."""
+    some = F.exists(F.map_values(fields), lambda v: F.coalesce(is_prose(v), F.lit(False)))
+    return F.when(some, F.transform_values(fields, lambda _, v: F.when(is_prose(v), change(v)).otherwise(v)))
+
+
+def lookup(json: Column, path: str) -> Column:
+    """The text at a dotted path of a JSON value; numbers are places in a list, negative ones from its end; null where there is none."""
+    value = F.parse_json(json)
+    for step in path.split("."):
+        if step.lstrip("-").isdigit():
+            items = F.try_variant_get(value, "$", "array<variant>")
+            i = int(step)
+            value = F.get(items, F.lit(i) if i >= 0 else F.size(items) + i)
+        else:
+            value = F.try_variant_get(value, f"$['{step}']", "variant")
+    return F.try_variant_get(value, "$", "string")
+
+
+def as_text(value: Column, is_string: bool) -> Column:
+    """A text as it is, anything else as JSON."""
+    return value if is_string else F.to_json(value)
+
+
+def difflib_ratio(a: Column, b: Column) -> Column:
+    """The matching-blocks similarity of two texts, by the standard library, in Arrow batches."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)

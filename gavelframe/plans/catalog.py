@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gavelframe.plans import certification, gates, panels, texts
+from gavelframe.plans import certification, decided, gates, panels, texts
 
-MODULES = (certification, gates, panels, texts)
+MODULES = (certification, gates, panels, decided, texts)
 
 
 def queries():

@@ -29,8 +29,9 @@ def R(c):
 
 # -- annotations: events as an export; a user annotates a run, sometimes again --------------
 ANNOTATIONS = """ann AS (SELECT (event_id % 2000)::BIGINT AS run_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 3 END AS reviewer, CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'signup' THEN 'pass' WHEN 'error' THEN 'fail' ELSE 'neutral' END AS verdict, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS updated_at, event_id AS row_no FROM events),
-timed AS (SELECT *, count(*) FILTER (updated_at IS NULL) OVER (PARTITION BY run_id, reviewer) = 0 AS t FROM ann),
-latest AS (SELECT run_id, reviewer, verdict, row_no FROM timed QUALIFY row_number() OVER (PARTITION BY run_id, reviewer ORDER BY CASE WHEN t THEN updated_at END DESC NULLS LAST, row_no DESC) = 1),
+own AS (SELECT *, CASE WHEN reviewer IS NULL THEN row_no END AS self FROM ann),
+timed AS (SELECT *, count(*) FILTER (updated_at IS NULL) OVER (PARTITION BY run_id, reviewer, self) = 0 AS t FROM own),
+latest AS (SELECT run_id, reviewer, verdict, row_no FROM timed QUALIFY row_number() OVER (PARTITION BY run_id, reviewer, self ORDER BY CASE WHEN t THEN updated_at END DESC NULLS LAST, row_no DESC) = 1),
 votes AS (SELECT run_id, count(*) FILTER (verdict = 'pass') AS passes, count(*) FILTER (verdict = 'fail') AS fails, count(*) FILTER (verdict = 'neutral') AS neutral FROM latest GROUP BY run_id),
 labels_of AS (SELECT *, CASE WHEN passes > 0 AND fails > 0 THEN 'conflict' WHEN passes > 0 THEN 'pass' WHEN fails > 0 THEN 'fail' ELSE 'neutral' END AS label FROM votes)"""
 
@@ -271,10 +272,7 @@ def contested_items(spark, sf_dir):
 
 @query(f"WITH {RATINGS} SELECT rater, count(*) FILTER (yes <> no AND vote = CASE WHEN yes < no THEN 1 ELSE 0 END) AS minority, count(*) AS rated FROM v JOIN items USING (item) GROUP BY rater")
 def rater_outliers(spark, sf_dir):
-    rows = ratings(spark, sf_dir)
-    odd = panel.contested(rows).select(F.explode("minority").alias("rater")).groupBy("rater").agg(F.count("*").alias("minority"))
-    rated = rows.where("passed is not null").groupBy("rater").agg(F.count_distinct("item").alias("rated"))
-    return rated.join(odd, "rater", "left").select("rater", F.coalesce("minority", F.lit(0)).alias("minority"), "rated")
+    return panel.outliers(ratings(spark, sf_dir))
 
 
 # -- richer verdicts ------------------------------------------------------------------------

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gavelframe.functions import pii
 from gavelframe.functions import text as T
 from gavelframe.functions.rng import u01
-from gavelframe.functions.stats import wilson
-from gavelframe.operators import search, traces
-from gavelframe.plans.certification import U01, load
-from gavelframe.plans.panels import WH, WL
+from gavelframe.operators import certify, controls, labels, mutation, panel, report, search, traces
+from gavelframe.plans.certification import CASES, FAMILIES, JUDGES, JUDGMENTS, U01, judgments, known_good, load, symbol_share
+from gavelframe.plans.panels import WH, WL, annotations, ratings
+from gavelframe.sources import spans as span_source
 from gavelframe.streaming import canary
 
 Q = {}
@@ -95,15 +96,61 @@ def mutant_truncated(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2(T.truncated(F.col("text")), 256).alias("mutant_sha256"))
 
 
-KILL = "SELECT l_returnflag AS evaluator, l_linestatus AS mutant, count(*) FILTER (l_quantity >= 20) AS caught, count(*) FILTER (l_quantity < 20 AND l_quantity >= 4) AS missed, count(*) FILTER (l_quantity < 4) AS unobservable, count(*) AS n, count(*) FILTER (l_quantity >= 20) AS k FROM lineitem GROUP BY ALL"
+MUTANTS = CASES + r""", split AS (SELECT case_id, output, regexp_extract(output, '(?s)^(.*?)([0-9]+(?:\.[0-9]+)?)([^0-9]*)$', 1) AS head, regexp_extract(output, '(?s)^(.*?)([0-9]+(?:\.[0-9]+)?)([^0-9]*)$', 2) AS number, regexp_extract(output, '(?s)^(.*?)([0-9]+(?:\.[0-9]+)?)([^0-9]*)$', 3) AS tail, substr(output, 1, (length(output) // 2)::BIGINT) AS h,
+  regexp_extract(output, '(?is)^(.*)\b(yes|no)\b(.*)$', 1) AS yh, regexp_extract(output, '(?is)^(.*)\b(yes|no)\b(.*)$', 2) AS word, regexp_extract(output, '(?is)^(.*)\b(yes|no)\b(.*)$', 3) AS yt FROM cases),
+made AS (
+  SELECT case_id, 'truncated' AS mutant, output, CASE WHEN contains(h, ' ') THEN regexp_replace(h, '(?s) [^ ]*$', '') ELSE h END AS new_output FROM split
+  UNION ALL SELECT case_id, 'number_changed', output, CASE WHEN number <> '' AND length(regexp_extract(number, '^[0-9]+')) <= 37 THEN head || (regexp_extract(number, '^[0-9]+')::HUGEINT + 1)::VARCHAR || substr(number, length(regexp_extract(number, '^[0-9]+')) + 1) || tail END FROM split
+  UNION ALL SELECT case_id, 'yes_no_flipped', output, CASE WHEN word <> '' THEN yh || CASE WHEN lower(word) = 'yes' THEN CASE WHEN word = 'YES' THEN 'NO' WHEN substr(word, 1, 1) = 'Y' THEN 'No' ELSE 'no' END ELSE CASE WHEN word = 'NO' THEN 'YES' WHEN substr(word, 1, 1) = 'N' THEN 'Yes' ELSE 'yes' END END || yt END FROM split
+  UNION ALL SELECT case_id, 'emptied', output, CASE WHEN output <> '' THEN '' END FROM split),
+defects AS (SELECT case_id, mutant, new_output FROM made WHERE new_output IS NOT NULL AND new_output <> output),
+bars AS (SELECT * FROM (VALUES ('lenient', 0.2::DOUBLE), ('strict', 0.05::DOUBLE), ('style', 0.08::DOUBLE)) j(evaluator, bar)),
+firsts AS (SELECT evaluator, bar, case_id, CASE WHEN case_id % 29 <> 0 THEN coalesce(length(regexp_replace(output, '[\p{L}\s]', '', 'g')) / nullif(length(output), 0) < bar, false) END AS first FROM cases, bars),
+seconds AS (SELECT evaluator, d.mutant, d.case_id, first, CASE WHEN d.case_id % 31 <> 0 THEN coalesce(length(regexp_replace(new_output, '[\p{L}\s]', '', 'g')) / nullif(length(new_output), 0) < bar, false) END AS passed FROM defects d JOIN firsts f ON f.case_id = d.case_id),
+found AS (SELECT evaluator, mutant, CASE WHEN first IS NULL THEN 'error' WHEN NOT first THEN 'original_failed' WHEN passed IS NULL THEN 'error' WHEN passed THEN 'missed' ELSE 'caught' END AS status FROM seconds),
+rates AS (SELECT evaluator, mutant, count(*) FILTER (status = 'caught') AS caught, count(*) FILTER (status = 'missed') AS missed, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'original_failed') AS original_failed, count(*) FILTER (status IN ('caught', 'missed')) AS judged FROM found GROUP BY ALL)"""
+TEXT_MUTANTS = {k: v for k, v in mutation.DEFAULT.items() if k != "last_sentence_dropped"}
+
+
+def mutation_rows(spark, sf_dir, mutants=TEXT_MUTANTS):
+    """(mutants of known-good documents, outcomes of three style judges on them)."""
+    cases = known_good(spark, sf_dir)
+    made = mutation.mutants(cases, mutants)
+    judges = F.explode(F.array(*(F.struct(F.lit(n).alias("evaluator"), F.lit(b).alias("bar")) for n, b in JUDGES)))
+    verdict = lambda skip: F.when(F.col("case_id") % skip != 0, F.coalesce(symbol_share(F.col("output")) < F.col("bar"), F.lit(False))).alias("passed")
+    originals = cases.select("case_id", "output", judges.alias("j")).select("case_id", "output", "j.*").select("evaluator", "case_id", verdict(29))
+    verdicts = made.where("state = 'defect'").select("case_id", "mutant", "output", judges.alias("j")).select("case_id", "mutant", "output", "j.*").select("evaluator", "mutant", "case_id", verdict(31))
+    return made, mutation.outcomes(made, originals, verdicts)
+
+
+@query(f"WITH {MUTANTS} SELECT evaluator, mutant, caught, missed, errors, original_failed, judged, round(CASE WHEN judged = 0 THEN 0 ELSE {WL.format(k='caught', n='judged')} END, 9) AS low, round(CASE WHEN judged = 0 THEN 1 ELSE {WH.format(k='caught', n='judged')} END, 9) AS high FROM rates")
+def kill_rate(spark, sf_dir):
+    rows = mutation.kill_rates(mutation_rows(spark, sf_dir)[1])
+    return rows.select("evaluator", "mutant", "caught", "missed", "errors", "original_failed", "judged", R(F.col("low")).alias("low"), R(F.col("high")).alias("high"))
 
 
-@query(f"SELECT evaluator, mutant, caught, missed, unobservable, round({WL.format(k='k', n='n')}, 9) AS low, round({WH.format(k='k', n='n')}, 9) AS high FROM ({KILL})")
-def kill_rate(spark, sf_dir):
-    q = F.col("l_quantity")
-    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("evaluator"), F.col("l_linestatus").alias("mutant")).agg(F.count_if(q >= 20).alias("caught"), F.count_if((q < 20) & (q >= 4)).alias("missed"), F.count_if(q < 4).alias("unobservable"), F.count("*").alias("n"))
-    low, high = wilson("caught", "n")
-    return rows.select("evaluator", "mutant", "caught", "missed", "unobservable", R(low).alias("low"), R(high).alias("high"))
+@query(f"WITH {MUTANTS} SELECT mutant, count(*) FILTER (new_output IS NOT NULL AND new_output <> output) AS defects, count(*) FILTER (new_output IS NULL OR new_output = output) AS not_applicable FROM made GROUP BY mutant")
+def mutant_summary(spark, sf_dir):
+    return mutation.summary(mutation_rows(spark, sf_dir)[0]).select("mutant", "defects", "not_applicable")
+
+
+def mutation_report(spark, sf_dir):
+    """Kill rates of all five text mutants."""
+    return mutation.kill_rates(mutation_rows(spark, sf_dir, mutation.DEFAULT)[1])
+
+
+def pii_full(spark, sf_dir):
+    """Findings of all kinds in every document, and the text without them."""
+    found = pii.detect(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.size("findings").alias("n"), F.to_json("findings").alias("findings"), F.sha2(pii.redact(F.col("text"), F.col("findings")), 256).alias("redacted_sha256"))
+
+
+PLANTED = "UNION ALL ".join(f"SELECT case_id, '{c}' AS category, '{k}' AS kind, sha256(output || chr(10) || 'Contact: {pii.SYNTHETIC[c][i]}') AS output_sha256 FROM cases " for c in pii.CATEGORIES for i, k in ((0, "must_fail"), (1, "must_hold")))
+
+
+@query(f"WITH {CASES} {PLANTED}")
+def pii_controls(spark, sf_dir):
+    return pii.planted(known_good(spark, sf_dir)).select("case_id", "category", "kind", F.sha2("output", 256).alias("output_sha256"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))::BIGINT AS emails FROM documents WHERE contains(text, '@')")
@@ -147,16 +194,37 @@ def trace_dedupe(spark, sf_dir):
     return traces.dedupe_runs(runs, F.col("role") == "user").select("conv_id", "prompt", "duplicates")
 
 
-MSG = "m AS (SELECT user_id AS run_id, event_id AS no, CASE WHEN event_type IN ('view', 'signup') THEN 'tool_call' ELSE 'tool_call_response' END AS kind, event_id % 50 AS call_id FROM events)"
+MSG = "m AS (SELECT user_id AS run_id, event_id AS no, CASE WHEN event_type IN ('view', 'signup') THEN 'tool_call' ELSE 'tool_call_response' END AS kind, event_id % 50 AS call_id FROM events), o AS (SELECT *, max(no) FILTER (kind = 'tool_call') OVER (PARTITION BY run_id, call_id ORDER BY no) AS call_no FROM m)"
 
 
-@query(f"WITH {MSG} SELECT c.run_id, c.call_id, c.no AS call_no, coalesce(min(r.no) FILTER (r.no > c.no), -1)::BIGINT AS response_no FROM (SELECT * FROM m WHERE kind = 'tool_call') c LEFT JOIN (SELECT * FROM m WHERE kind = 'tool_call_response') r ON c.run_id = r.run_id AND c.call_id = r.call_id GROUP BY ALL")
+@query(f"WITH {MSG} SELECT run_id, call_id, call_no, coalesce(max(no) FILTER (kind <> 'tool_call'), -1)::BIGINT AS response_no FROM o WHERE call_no IS NOT NULL GROUP BY ALL")
 def tool_pairing(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "signup"), "tool_call").otherwise("tool_call_response")
     m = load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("no"), kind.alias("kind"), (F.col("event_id") % 50).alias("call_id"))
     return traces.pair_tools(m).withColumn("response_no", F.coalesce("response_no", F.lit(-1)).cast("long"))
 
 
+def recorded_runs(spark, sf_dir):
+    """Conversations as recorded agent runs: one query row each, its turns as messages."""
+    message = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("content"))).alias("parts"))
+    per = turns(spark, sf_dir).groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"])).alias("messages"), F.max_by("text", "turn").alias("last"))
+    attributes = F.to_json(F.create_map(F.lit("gen_ai.operation.name"), F.lit("invoke_agent"), F.lit("gen_ai.agent.name"), F.lit("helper"), F.lit("recorded.all_messages"), F.col("messages"), F.lit("final_result"), F.col("last")))
+    row = F.to_json(F.struct(F.lit("invoke_agent helper").alias("span_name"), F.hex(F.col("conv_id") + 1).alias("trace_id"), F.hex(F.col("conv_id") + 1).alias("span_id"), attributes.alias("attributes")))
+    return traces.agent_runs(spark, span_source.normalise(span_source.flatten(per.select(row.alias("value")))))
+
+
+@query("WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS t, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT lpad(lower(to_hex(f.conv_id + 1)), 32, '0') AS trace_id, sha256(c.text) AS prompt_sha256, (SELECT count(*) FROM conversations h WHERE h.conv_id = f.conv_id AND h.turn < f.t) AS history, (SELECT count(*) FROM conversations h WHERE h.conv_id = f.conv_id AND h.turn >= f.t) AS own, sha256(l.text) AS output_sha256 FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.t JOIN conversations l ON l.conv_id = f.conv_id AND l.turn = f.last")
+def agent_runs(spark, sf_dir):
+    runs = recorded_runs(spark, sf_dir).where("prompt is not null")
+    return runs.select("trace_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.size("history").cast("long").alias("history"), F.size("own").cast("long").alias("own"), F.sha2("output", 256).alias("output_sha256"))
+
+
+@query("WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS t FROM conversations GROUP BY conv_id), p AS (SELECT f.conv_id, c.text AS prompt, coalesce((SELECT string_agg(h.role || h.text, '|' ORDER BY h.turn) FROM conversations h WHERE h.conv_id = f.conv_id AND h.turn < f.t), '') AS history FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.t), g AS (SELECT prompt, history, count(*) - 1 AS duplicates FROM p GROUP BY ALL) SELECT duplicates::INTEGER AS duplicates, count(*) AS cases FROM g GROUP BY duplicates")
+def trace_cases(spark, sf_dir):
+    kept = traces.select_runs(recorded_runs(spark, sf_dir))
+    return kept.groupBy("duplicates").agg(F.count("*").alias("cases"))
+
+
 @query(f"WITH plan AS (SELECT doc_id AS plan_no, sha256(text) AS content FROM documents), occ AS (SELECT plan_no, content, row_number() OVER (PARTITION BY content ORDER BY plan_no) - 1 AS occurrence FROM plan), cache AS (SELECT sha256(text) AS content, 0 AS occurrence FROM documents WHERE {U01.format(chr(39) + 'cached' + chr(39) + ', doc_id')} < 0.5) SELECT plan_no, content, occurrence FROM occ ANTI JOIN cache USING (content, occurrence)")
 def cache_misses(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("plan_no"), F.sha2("text", 256).alias("content"))
@@ -205,38 +273,91 @@ def hourly_events(spark, sf_dir):
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
 
 
-# -- iterative tools, rows only -------------------------------------------------------------
-def disagreement_clusters(spark, sf_dir):
-    """Average-link clusters of the nation names' character pairs; contested items are not clustered yet."""
-    rows = load(spark, sf_dir, "nation").orderBy("n_name").select("n_name").collect()  # 25 rows
-    sets = [{r[0][i : i + 2] for i in range(len(r[0]) - 1)} for r in rows]
-    similar = [[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets]
-    found = search.clusters(similar)
-    return spark.createDataFrame([(i, rows[k][0]) for i, g in enumerate(found) for k in g], "cluster int, name string")
+# -- annotations, certificates as tables ----------------------------------------------------
+ANN = """ann AS (SELECT (event_id % 2000)::BIGINT AS run_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 3 END AS reviewer, CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'signup' THEN 'pass' WHEN 'error' THEN 'fail' ELSE 'neutral' END AS verdict, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS updated_at, event_id AS row_no FROM events),
+own AS (SELECT *, CASE WHEN reviewer IS NULL THEN row_no END AS self FROM ann),
+timed AS (SELECT *, count(*) FILTER (updated_at IS NULL) OVER (PARTITION BY run_id, reviewer, self) = 0 AS t FROM own),
+latest AS (SELECT * FROM timed QUALIFY row_number() OVER (PARTITION BY run_id, reviewer, self ORDER BY CASE WHEN t THEN updated_at END DESC NULLS LAST, row_no DESC) = 1),
+votes AS (SELECT run_id, count(*) FILTER (verdict = 'pass') AS p, count(*) FILTER (verdict = 'fail') AS f, count(*) FILTER (verdict = 'neutral') AS n FROM latest GROUP BY run_id),
+labelled AS (SELECT *, CASE WHEN p > 0 AND f > 0 THEN CASE WHEN p > f THEN 'pass' WHEN f > p THEN 'fail' ELSE 'conflict' END WHEN p > 0 THEN 'pass' WHEN f > 0 THEN 'fail' ELSE 'neutral' END AS label FROM votes)"""
+
+
+@query(f"WITH {ANN} SELECT (SELECT count(*) FROM ann) AS rows, 0::BIGINT AS missing_id, count(*) AS runs, count(*) FILTER (label IN ('pass', 'fail')) AS labelled, count(*) FILTER (label = 'pass') AS pass, count(*) FILTER (label = 'fail') AS fail, sum(n)::BIGINT AS neutral_annotations, count(*) FILTER (label = 'neutral') AS neutral_runs, count(*) FILTER (label = 'conflict') AS conflicts, (SELECT count(*) FROM ann) - (SELECT count(*) FROM latest) AS superseded FROM labelled")
+def read_summary(spark, sf_dir):
+    return labels.read_summary(annotations(spark, sf_dir), "majority")
+
+
+@query(f"WITH {ANN}, j AS (SELECT doc_id AS run_id, CASE WHEN doc_id % 19 <> 0 THEN n_chars >= 900 END AS passed FROM documents), b AS (SELECT l.label, j.passed, l.run_id AS h, j.run_id AS g FROM (SELECT * FROM labelled WHERE label IN ('pass', 'fail')) l FULL JOIN j USING (run_id)) SELECT count(*) FILTER (label = 'pass' AND passed) AS both_pass, count(*) FILTER (label = 'pass' AND NOT passed) AS human_only_pass, count(*) FILTER (label = 'fail' AND passed) AS judge_only_pass, count(*) FILTER (label = 'fail' AND NOT passed) AS both_fail, count(*) FILTER (h IS NOT NULL AND g IS NOT NULL AND passed IS NULL) AS errors, count(*) FILTER (g IS NULL) AS human_only, count(*) FILTER (h IS NULL) AS judge_only FROM b")
+def annotation_agreement(spark, sf_dir):
+    human = labels.annotation_votes(labels.latest_annotations(annotations(spark, sf_dir)), "majority").where("label in ('pass', 'fail')")
+    judge = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.when(F.col("doc_id") % 19 != 0, F.col("n_chars") >= 900).alias("passed"))
+    return labels.agreement(human, judge, "run_id").select("both_pass", "human_only_pass", "judge_only_pass", "both_fail", "errors", "human_only", "judge_only")
+
+
+@query(f"WITH {JUDGMENTS}, t AS (SELECT *, CASE WHEN kind = 'reference' AND repeat = 0 OR kind = 'must_hold' THEN true WHEN kind = 'must_fail' THEN false WHEN kind = 'human' THEN family = '1' END AS truth FROM judgments) SELECT judge_id, kind, family, count(*) FILTER (passed = truth) AS right, count(*) FILTER (passed <> truth) AS wrong, count(*) FILTER (passed IS NOT NULL AND truth IS NULL) AS unknown, count(*) FILTER (passed IS NULL) AS errors FROM t GROUP BY ALL")
+def evidence_table(spark, sf_dir):
+    return report.evidence_table(judgments(spark, sf_dir))
+
+
+@query(f"WITH {FAMILIES} SELECT judge_id, case_id, n::BIGINT AS repeats FROM stable WHERE n >= 2 AND v = n AND hi = 0")
+def consistent_rejections(spark, sf_dir):
+    return report.consistent_rejections(judgments(spark, sf_dir))
+
+
+def qualification(spark, sf_dir):
+    """Which style judges may steer an agent that works in English, by rule."""
+    rows = judgments(spark, sf_dir)
+    config = lambda v: F.create_map(F.lit("bar"), F.lit(v), F.lit("include_input"), F.lit("true"))
+    identities = spark.createDataFrame([(n, "0.1") for n, _ in JUDGES], "judge_id string, v string").select("judge_id", config("0.1").alias("certified"), config("0.1").alias("running"), F.lit(True).alias("reliable"), F.lit(3.0).alias("age_days"))
+    return report.qualify(certify.checks(rows, draws=200), certify.families(rows), identities, "steer", "en", True, ("empty_prose",), 30)
+
+
+def certificate_spans(spark, sf_dir):
+    """Certificates as spans: judges, their checks, and examples of wrong verdicts."""
+    rows = judgments(spark, sf_dir)
+    return span_source.tree(certify.checks(rows, draws=200), rows).withColumn("attributes", F.to_json("attributes"))
+
+
+def cases_needed(spark, sf_dir):
+    """Cases that the share of long documents in each source would need to clear 0.3."""
+    rates = load(spark, sf_dir, "documents").groupBy("source").agg(F.avg((F.col("n_chars") >= 1000).cast("int")).alias("rate"))
+    return report.cases_needed(rates.withColumn("bar", F.lit(0.3)))
+
+
+# -- searches -------------------------------------------------------------------------------
+def many_symbols(parts):
+    """Whether over a twentieth of the text are neither letters nor spaces."""
+    joined = "".join(parts)
+    return sum(not (c.isalpha() or c.isspace()) for c in joined) > 0.05 * max(1, len(joined))
 
 
 def ddmin(spark, sf_dir):
-    """Minimal sets of words of region comments that keep two of their letters."""
-    rows = load(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()  # 5 rows
-    return spark.createDataFrame([(r[0], "".join(search.ddmin(r[1], lambda p: "A" in p and p.count("A") >= min(1, r[1].count("A")) or "A" not in r[1]))) for r in rows], "r_regionkey int, witness string")
+    """The fewest turns of every conversation that still hold too many symbols."""
+    return search.witnesses(turns(spark, sf_dir), ["conv_id"], "turn", "text", many_symbols).withColumn("witness", F.sha2(F.array_join("witness", "\n"), 256))
 
 
 def stress_ucb(spark, sf_dir):
-    """Attack choices over twenty tries with fixed outcomes."""
-    tried, won, out = dict.fromkeys(("authority", "confidence", "formatting"), 0), dict.fromkeys(("authority", "confidence", "formatting"), 0), []
-    for step in range(20):
-        a = search.next_attack(tried, won)
-        tried[a] += 1
-        won[a] += a == "confidence"
-        out.append((step, a))
-    return spark.createDataFrame(out, "step int, attack string")
+    """Attacks on empty-handed answers (customer names) that length-minded judges let pass, within 200 tries."""
+    cases = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("output"))
+    rows = controls.attack_rows(cases, F.col("output"), F.lit("The answer is complete."))
+    judges = F.explode(F.array(*(F.struct(F.lit(n).alias("judge_id"), F.lit(b).alias("least")) for n, b in (("short", 60), ("long", 100)))))
+    judged = rows.select("*", judges.alias("j")).select("case_id", "attack", "j.judge_id", (F.length("output") >= F.col("j.least")).alias("fooled"))
+    return search.stress(judged, 200, ["judge_id"])
 
 
 def evidence_budget(spark, sf_dir):
-    """Regions that can go without losing the letter E from the names left."""
-    rows = load(spark, sf_dir, "region").select("r_name").collect()  # 5 rows
-    names = {r[0]: r[0] for r in rows}
-    return spark.createDataFrame([(n,) for n in search.evidence_budget(names, lambda left: any("E" in v for v in left.values()))], "dropped string")
+    """Which fields of a part can go before a judge that looks for economy parts changes its mind."""
+    parts = load(spark, sf_dir, "part")
+    fields = [c for c in ("p_name", "p_brand", "p_type", "p_container", "p_mfgr") if c in parts.columns]
+    verdict = lambda left: F.upper(F.concat_ws(" ", *left.values())).contains("ECONOMY")
+    return spark.createDataFrame(search.evidence_budget(parts, fields, verdict), "component string, chars long, moved long, dropped boolean")
+
+
+def disagreement_clusters(spark, sf_dir):
+    """Clusters of the documents that raters contest, by their words."""
+    contested = panel.ranked_contested(panel.contested(ratings(spark, sf_dir))).select(F.col("item").alias("doc_id"))
+    texts = load(spark, sf_dir, "documents").select("doc_id", "text").join(contested, "doc_id")
+    return search.cluster_items(texts, "doc_id", "text")
 
 
-Q |= {f.__name__: f for f in (disagreement_clusters, ddmin, stress_ucb, evidence_budget)}
+Q |= {f.__name__: f for f in (mutation_report, pii_full, qualification, certificate_spans, cases_needed, disagreement_clusters, ddmin, stress_ucb, evidence_budget)}

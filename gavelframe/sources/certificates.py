@@ -26,7 +26,7 @@ def fingerprint(config: str) -> F.Column:
 
 
 def save(rows: DataFrame, path: str) -> None:
-    """Write beside path, then swap: readers see the old folder or the new one."""
+    """Write beside path, then swap by two renames: readers see the old folder, the new one or, between the renames, none, and never a part of one."""
     spark = rows.sparkSession
     staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     rows.write.partitionBy("judge_id").parquet(staged)

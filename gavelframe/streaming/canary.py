@@ -59,3 +59,16 @@ def canary_window(checks: DataFrame, keep: int = KEEP) -> DataFrame:
 def windowed_outcomes(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts by event type in tumbling windows of a stream, late events dropped behind the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+
+
+def systematic(calls: DataFrame, every: int) -> DataFrame:
+    """Every n-th call of a judge (judge_id, seq), counted from the first."""
+    order = Window.partitionBy("judge_id").orderBy("seq")
+    return calls.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") % every == 0).drop("_rn")
+
+
+def with_borrowed(calls: DataFrame, keep: int = 50) -> DataFrame:
+    """calls (judge_id, seq, output) with borrowed: the latest of the last keep outputs that differs from a call's own; null without one."""
+    before = Window.partitionBy("judge_id").orderBy("seq").rowsBetween(-keep, -1)
+    other = F.filter(F.collect_list("output").over(before), lambda o: o != F.col("output"))
+    return calls.withColumn("borrowed", F.try_element_at(other, F.lit(-1)))

@@ -1,55 +1,12 @@
 """Sources, text functions, panels, traces, iterative tools and the canary."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
 from gavelframe.functions import text as T
-from gavelframe.operators import panel, search, traces
-from gavelframe.sources import annotations, spans
+from gavelframe.operators import panel, traces
 from gavelframe.streaming import canary
 
-EXPORT = [
-    {"trace_id": "a", "verdict": "pass", "tags": ["x", "y"], "reviewer_email": "r1", "updated_at": "2024-01-02T00:00:00"},
-    {"trace_id": "b", "verdict": "Fail", "tags": '["z"]', "reviewer_email": "", "updated_at": "soon"},
-    {"trace_id": "c", "verdict": "neutral", "tags": "p, q", "reviewer_email": "r2"},
-]
-
-
-@pytest.mark.parametrize("kind", ["jsonl", "csv"])
-def test_annotation_exports_read_alike(spark, tmp_path, kind):
-    path = tmp_path / f"export.{kind}"
-    if kind == "jsonl":
-        path.write_text("\n".join(json.dumps(r | {"tags": r["tags"] if isinstance(r["tags"], str) else json.dumps(r["tags"])}) for r in EXPORT))
-    else:
-        lines = ["trace_id,verdict,tags,reviewer_email,updated_at"]
-        for r in EXPORT:
-            tags = r["tags"] if isinstance(r["tags"], str) else json.dumps(r["tags"])
-            quoted = tags.replace('"', '""')
-            lines.append(f'{r["trace_id"]},{r["verdict"]},"{quoted}",{r["reviewer_email"]},{r.get("updated_at", "")}')
-        path.write_text("\n".join(lines))
-    got = {r.run_id: r for r in annotations.read_annotations(spark, str(path)).collect()}
-    assert [got[k].verdict for k in "abc"] == ["pass", "fail", "neutral"]
-    assert [got[k].tags for k in "abc"] == [["x", "y"], ["z"], ["p", "q"]]
-    assert got["b"].reviewer is None and got["b"].updated_at is None and got["a"].updated_at is not None
-
-
-def test_unknown_verdicts_and_formats_raise(spark):
-    with pytest.raises(Exception, match="unknown verdict"):
-        annotations.read_annotations(spark, [{"trace_id": "a", "verdict": "maybe"}]).collect()
-    with pytest.raises(ValueError, match="unknown annotation format"):
-        annotations.read_annotations(spark, "x.xlsx")
-
-
-def test_otlp_documents_flatten(spark, tmp_path):
-    doc = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "T1", "spanId": "S1", "name": "agent run", "startTimeUnixNano": "1700000000000000000", "attributes": [{"key": "n", "value": {"intValue": "3"}}], "status": {"code": "2"}}]}]}]}
-    path = tmp_path / "spans.json"
-    path.write_text(json.dumps(doc))
-    got = spans.read_otlp(spark, str(path)).first()
-    assert got.trace_id == "T1" and got.attributes == {"n": "3"} and got.error and got.start.year == 2023
-
-
 def test_repeated_and_pending_spans_drop(spark):
     rows = spark.createDataFrame([(0, "0xAB", "1", None, "x", False, 1), (1, "ab", "1", None, "later", False, 1), (2, "ab", "2", None, "p", True, 1), (3, "ab", "", None, "n", False, 1), (4, "ab", "", None, "n", False, 1)], "seq long, trace_id string, span_id string, parent_id string, name string, pending boolean, start int")
     assert sorted(r.name for r in traces.normalise_spans(rows).collect()) == ["n", "n", "x"]
@@ -106,13 +63,6 @@ def test_contested_item_counts_raters_not_verdicts(spark):
     assert got.split == pytest.approx(2 / 3) and got.minority == ["a"] and got.between and not got.within
 
 
-def test_iterative_tools():
-    assert search.ddmin(list("abcdefgh"), lambda p: "b" in p and "g" in p) == ["b", "g"]
-    assert search.next_attack({"a": 3, "b": 0}, {"a": 3, "b": 0}) == "b"
-    assert search.evidence_budget({"long": "xxxxxxx", "key": "k"}, lambda left: "key" in left) == ["long"]
-    assert search.clusters([[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]]) == [[0, 1], [2]]
-
-
 def test_canary_stream_keeps_the_last_hundred(spark, tmp_path):
     source = tmp_path / "in"
     rows = [("j", i, i >= 30) for i in range(150)] + [("j", 200, None)]
