@@ -33,7 +33,7 @@ def cases_needed(rates: DataFrame, rate: str = "rate", bar: str = "bar", most: i
         sizes.append(min(most, sizes[-1] + sizes[-1] // 100))
     pairs = rates.select(F.col(rate).alias("r"), F.col(bar).alias("b")).where("r > b").distinct()
     every = F.concat(F.sequence(F.lit(1), F.lit(999)), F.array(*map(F.lit, sizes)))
-    tried = pairs.withColumn("n", F.explode(every).cast("long")).withColumn("k", F.floor(F.col("r") * F.col("n") + 1e-9).cast("long"))
+    tried = pairs.withColumn("n", F.explode(every.cast("array<long>"))).withColumn("k", F.floor(F.col("r") * F.col("n") + 1e-9).cast("long"))
     reached = tried.where((F.col("k") > 0) & (binomial_cdf("(k - 1)", "n", "b") >= 0.975))
     least = reached.groupBy("r", "b").agg(F.min("n").alias("cases_needed"))
     joined = rates.join(least, (F.col(rate) == F.col("r")) & (F.col(bar) == F.col("b")), "left")
