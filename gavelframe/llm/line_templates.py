@@ -5,8 +5,13 @@ fixed depth: the number of tokens, then the first ``depth`` tokens.  In a leaf t
 different lines, the most frequent token at each position (among its distinct lines) makes the
 leaf's first template; lines of at least ``min_tokens`` tokens that agree with it at ``similarity``
 of the positions or more belong to it, with the positions where they differ as further variables.
-The lines left over make the leaf's second template the same way, and so on for ``templates``
-rounds.  Every other line is a template of its own, variables masked.
+The lines left over make the leaf's second template the same way, and so on: the second round
+follows where the first took a line, others where the last took at least ``SHARE`` of the lines
+it saw.  What is then left of a leaf is taken in the order of the lines' hashes: a line belongs to
+the first leader it agrees with at ``similarity``, and is a leader itself if there is none.  So
+every line of a leaf is grouped, however many templates the leaf holds; a number for ``templates``
+stops after so many rounds, without leaders.  Every other line is a template of its own, variables
+masked.
 
 A template recurs if it stands in at least ``min_docs`` different texts.  It stays in the first
 of them (smallest key, then text hash) and in exact copies of that text, and is dropped from all
@@ -17,9 +22,11 @@ the same word for word (white space apart, numbers not masked); it stays in the
 Passages inside a line or across lines are not looked for.
 
 Lines are carried as hashes; only leaves with several lines have their tokens counted, by
-(leaf, position, token).  Texts are shuffled once, to be rewritten.  What is broadcast are rows of
-one or two 64-bit hashes, BROADCAST_ROWS at most (some 50 MB); more are joined by shuffle, where
-Spark splits the partitions of hot templates and hot texts.
+(leaf, position, token).  Rounds grow with the logarithm of a leaf's lines; leaders are found
+``SLICE`` lines of a leaf at a time and cost lines times leaders of what the rounds left there.
+Texts are shuffled once, to be rewritten.  What is broadcast are rows of one or two 64-bit hashes,
+BROADCAST_ROWS at most (some 50 MB); more are joined by shuffle, where Spark splits the partitions
+of hot templates and hot texts.
 
 Defined results: null texts stay null and empty ones empty; blank lines are never dropped; a
 null key sorts after all others; repeated rows give equal results; texts without a dropped line
@@ -28,6 +35,9 @@ are returned byte for byte.  Columns named n_lines and n_dropped are replaced, n
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +47,10 @@ DEPTH = 3
 SIMILARITY = 0.75
 MIN_DOCS = 3
 MIN_TOKENS = 6
-TEMPLATES = 2
+#: A leaf's rounds go on while one takes this share of the lines it sees; leaders group the others.
+SHARE = 0.1
+#: Lines of a leaf among which leaders are found at once, about.
+SLICE = 1000
 BROADCAST_ROWS = 1_000_000
 _WS = " \\t\\r\\f\\x0B"
 _VARIABLE = f"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+"
@@ -73,26 +86,61 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _generalised(scratch: Scratch, members: DataFrame, similarity: float, templates: int) -> DataFrame:
-    """(leaf, line, round) of the lines that belong to one of a leaf's templates.
+def _fits(tokens: F.Column, template: F.Column, similarity: float) -> F.Column:
+    same = F.aggregate(F.zip_with(tokens, template, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    return same >= similarity * F.size(tokens)
+
+
+def _generalised(scratch: Scratch, members: DataFrame, similarity: float, templates: int | None) -> DataFrame:
+    """(leaf, line, template) of the lines that belong to one of a leaf's templates.
 
     members: leaf, line, tokens; one row a different line.
     """
-    found = None
-    for step in range(templates):
+    found, rest = [], []
+    for step in itertools.count():
+        if step == templates:
+            return functools.reduce(DataFrame.unionByName, found)
         counts = members.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
         usual = counts.groupBy("leaf", "i").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-        template = usual.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("template"))
-        same = F.aggregate(F.zip_with("tokens", "template", lambda x, y: (x == y["token"]).cast("int")), F.lit(0), lambda a, x: a + x)
-        tested = members.join(template, "leaf").withColumn("fits", same >= similarity * F.size("tokens"))
+        template = usual.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).getField("token").alias("template"))
+        tested = members.join(template, "leaf").withColumn("fits", _fits(F.col("tokens"), F.col("template"), similarity))
         tested = scratch.save(tested.select("leaf", "line", "fits", F.when(~F.col("fits"), F.col("tokens")).alias("tokens")), f"template-tested-{step}")
-        general = tested.where("fits").select("leaf", "line", F.lit(step).alias("round"))
-        found = general if found is None else found.unionByName(general)
-        members = tested.where("not fits").select("leaf", "line", "tokens")
+        found.append(tested.where("fits").select("leaf", "line", F.xxhash64(F.lit("leaf"), "leaf", F.lit(step)).alias("template")))
+        left = tested.where("not fits")
+        if templates is None:
+            share = tested.groupBy("leaf").agg(F.avg(F.col("fits").cast("int")).alias("share"))
+            left = left.join(share, "leaf").withColumn("open", F.col("share") > 0 if step == 0 else F.col("share") >= SHARE)
+            left = scratch.save(left.select("leaf", "line", "tokens", "open"), f"template-left-{step}", compact=True)
+            rest.append(left.where("not open").select("leaf", "line", "tokens"))
+            left = left.where("open")
+            if left.isEmpty():
+                return functools.reduce(DataFrame.unionByName, [*found, *_led(scratch, functools.reduce(DataFrame.unionByName, rest), similarity)])
+        members = left.select("leaf", "line", "tokens")
+
+
+def _led(scratch: Scratch, rest: DataFrame, similarity: float) -> list[DataFrame]:
+    """(leaf, line, template) of all lines of rest, by their leaders; one table for each slice of the largest leaf.
+
+    rest: leaf, line, tokens; one row a different line.  A leaf is cut into ranges of hashes.
+    """
+    slices = rest.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    part = F.floor((F.col("line") / float(1 << 64) + 0.5) * F.col("slices"))
+    rest = scratch.save(rest.join(slices, "leaf").select("leaf", "line", "tokens", part.alias("part")), "template-rest", compact=True)
+    found = []
+    while not rest.isEmpty():
+        first = rest.groupBy("leaf").agg(F.min("part").alias("part"))
+        ordered = rest.join(first, ["leaf", "part"]).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("line", "tokens"))).alias("lines"))
+        leaders = F.aggregate("lines", F.filter("lines", lambda x: F.lit(False)), lambda seen, x: F.when(F.exists(seen, lambda y: _fits(x["tokens"], y["tokens"], similarity)), seen).otherwise(F.concat(seen, F.array(x))))
+        tested = rest.join(ordered.select("leaf", leaders.alias("leaders")), "leaf")
+        leader = F.get(F.filter("leaders", lambda x: _fits(F.col("tokens"), x["tokens"], similarity)), F.lit(0))["line"]
+        tested = tested.select("leaf", "line", "tokens", "part", leader.alias("leader"))
+        tested = scratch.save(tested, f"template-led-{len(found)}", compact=True)
+        found.append(tested.where("leader is not null").select("leaf", "line", F.xxhash64(F.lit("leader"), "leaf", "leader").alias("template")))
+        rest = tested.where("leader is null").drop("leader")
     return found
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_words: int | None = None, templates: int = TEMPLATES) -> DataFrame:
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_words: int | None = None, templates: int | None = None) -> DataFrame:
     """(t, dropped): hash of a text, and the positions of its lines that are dropped."""
     scratch = Scratch(docs.sparkSession)
     lines = _lines(docs, key, text)
@@ -107,8 +155,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     members = scratch.save(members.select("leaf", "line", F.split("masked", " ").alias("tokens")), "template-members")
     general = _generalised(scratch, members, similarity, templates)
 
-    template = F.when(F.col("round").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf", "round")).otherwise(F.xxhash64("leaf", "line"))
-    named = base.join(general, ["leaf", "line"], "left").select("k", "t", "pos", template.alias("template"))
+    named = base.join(general, ["leaf", "line"], "left").select("k", "t", "pos", F.coalesce("template", F.xxhash64("leaf", "line")).alias("template"))
     named = scratch.save(named, "template-named")
     often = scratch.save(_keepers(named, "template", min_docs), "template-often")
     gone = named.join(_small(often), "template").where("t <> keeper").select("t", "pos")
@@ -134,6 +181,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     return joined.select(*(rewritten.alias(c) if c == text else F.col(c) for c in columns), n_lines.alias(added[0]), n_dropped.alias(added[1]))
 
 
+#: Stops after two rounds of a leaf, without leaders: equal where no template found after those recurs.
 ORACLE_SQL = r"""
 WITH texts AS (SELECT text AS t, min(doc_id) AS k FROM documents WHERE text IS NOT NULL GROUP BY text),
 split AS (SELECT t, k, string_split(t, chr(10)) AS ls FROM texts),

@@ -202,6 +202,56 @@ def test_a_leaf_has_several_templates(spark):
     assert dropped(2) == [0, 1, 1, 1, 0, 1, 1]
 
 
+def test_a_leaf_has_as_many_templates_as_it_takes(spark):
+    ends = ["failed on host {} at noon sharp today again", "{} went very well and nobody had to care", "was put off by {} until some other quiet night", "needs {} more discs before anyone can start it", "lost its {} lock while nodes were being moved"]
+    lines = [f"job alpha beta {end.format(w)}" for end in ends for w in ("amber", "blue", "coral", "dusk")]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.n_dropped for r in line_templates.drop_recurring_lines(docs).orderBy("doc_id").collect()] == [0, 1, 1, 1] * 5
+
+
+def plain_templates(lines, place):
+    """Template of each of a leaf's lines (tuples of tokens): rounds, then leaders in the order of their places."""
+    fit = lambda a, b: sum(x == y for x, y in zip(a, b)) >= 0.75 * len(a)
+    out, left = {}, set(lines)
+    for step in range(len(lines) + 2):
+        counts = [collections.Counter(column) for column in zip(*left)]
+        usual = [max(c, key=lambda w, c=c: (c[w], w)) for c in counts]
+        found = {x for x in left if fit(x, usual)}
+        out |= dict.fromkeys(found, step)
+        share, left = len(found) / max(len(left), 1), left - found
+        if not left or (share == 0 if step == 0 else share < 0.1):
+            break
+    leaders = []
+    for x in sorted(left, key=place.get):
+        leader = next((y for y in leaders if fit(x, y)), x)
+        leaders += [x] if leader == x else []
+        out[x] = leader
+    return out
+
+
+def test_templates_equal_plain_rounds_and_leaders(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    heads = [("a", "b", "c"), ("a", "b", "d"), ("e", "f", "g")]
+    rows = [(i, (*rng.choice(heads), *("w" + rng.choice("abcde") for _ in range(rng.choice((3, 6, 9)))))) for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    place = {tuple(r.text.split(" ")): r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    leaves = collections.defaultdict(set)
+    for _, x in rows:
+        leaves[len(x), x[:3]].add(x)
+    template = {x: (leaf, t) for leaf, lines in leaves.items() for x, t in plain_templates(lines, place).items()}
+    texts, keeper = collections.defaultdict(set), {}
+    for i, x in rows:
+        texts[template[x]].add(x)
+        keeper.setdefault(template[x], x)
+    want = [int(len(texts[template[x]]) >= 3 and keeper[template[x]] != x) for _, x in rows]
+    assert sum(want) > 100 and any(isinstance(t, tuple) and len(texts[leaf, t]) >= 3 for leaf, t in texts)
+    for size in (1000, 5):
+        monkeypatch.setattr(line_templates, "SLICE", size)
+        assert [r.n_dropped for r in line_templates.drop_recurring_lines(docs).orderBy("doc_id").collect()] == want
+
+
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = lambda: sorted(map(tuple, line_templates.drop_recurring_lines(docs, long_words=50).collect()))
