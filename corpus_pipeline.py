@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines whose template recurs, or that are long and repeat in two texts; those of which nothing but white space is left go.
 
-    n_chars follows a changed text.  Null, empty and blank texts stay as they are; repeated rows
+    However many templates a leaf of the tree holds, all its lines are grouped.  n_chars follows a changed text.  Null, empty and blank texts stay as they are; repeated rows
     are changed alike; ties between documents are broken by the smaller doc_id, nulls last.
     """
     n_lines, n_dropped = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_dropped")

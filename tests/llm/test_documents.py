@@ -193,6 +193,15 @@ def test_long_line_of_two_documents_stays_once(spark):
     assert got == sorted((k, t, len(t)) for k, t in ((k, "second own line" if k == 2 else t) for k, t in rows))
 
 
+def test_pipeline_drops_every_template_of_a_leaf(spark):
+    ends = ["failed on host {} at noon sharp today again", "{} went very well and nobody had to care", "was put off by {} until some other quiet night", "needs {} more discs before anyone can start it"]
+    rows = [(f"own words {chr(97 + i)}{w}", f"job alpha beta {end.format(w)}") for i, end in enumerate(ends) for w in ("amber", "blue", "coral")]
+    docs = spark.createDataFrame([(i, "\n".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, SF).collect())
+    want = ["\n".join(r) if i % 3 == 0 else r[0] for i, r in enumerate(rows)]
+    assert got == [(i, t, len(t)) for i, t in enumerate(want)]
+
+
 def test_a_leaf_has_several_templates(spark):
     first = [f"job alpha beta failed on host {w} at noon sharp today again" for w in ("amber", "blue", "coral", "dusk")]
     second = [f"job alpha beta {w} went very well and nobody had to care" for w in ("amber", "blue", "coral")]
