@@ -1,5 +1,6 @@
 """Sources, text functions, panels, traces, iterative tools and the canary."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def test_mutants(spark):
     assert list(none) == [None, None, None]
 
 
+def test_yes_and_no_beside_other_letters_are_words_as_in_sql(spark):
+    texts = ["no\u00f1co", "x \u00e9no", "No\u0301", "\u0660no", "a_no", "1yes", "Yes\u200d", "no \u00f1 yes", "NO\n"]
+    sql = r"SELECT regexp_extract(t, '(?is)^(.*)\b(yes|no)\b(.*)$', 1) AS head, regexp_extract(t, '(?is)^(.*)\b(yes|no)\b(.*)$', 2) AS word, regexp_extract(t, '(?is)^(.*)\b(yes|no)\b(.*)$', 3) AS tail FROM (SELECT unnest(?) AS t)"
+    other = {"yes": "no", "Yes": "No", "no": "yes", "No": "Yes", "NO": "YES"}
+    want = [head + other[word] + tail if word else None for head, word, tail in duckdb.execute(sql, [texts]).fetchall()]
+    got = [T.flipped_yes_no(F.lit(t)) for t in texts]
+    assert list(spark.range(1).select(*got).first()) == want
+    assert want[0] == "yes\u00f1co" and want[4] is None
+
+
 def test_iban_and_luhn(spark):
     df = spark.createDataFrame([("DE89370400440532013000", "4539578763621486"), ("DE88370400440532013000", "4539578763621487")], "i string, c string")
     assert [tuple(r) for r in df.select(T.iban_valid(F.col("i")), T.luhn(F.col("c"))).collect()] == [(True, True), (False, False)]
