@@ -161,6 +161,13 @@ def test_ddmin_is_one_minimal_and_keeps_its_budget():
         search.ddmin([1, 2], lambda p: False)
 
 
+def test_summary_counts_a_no_beside_a_letter_outside_ascii(spark):
+    cases = spark.createDataFrame([(1, "no\u00f1co"), (2, "\u00e9no"), (3, "a_no"), (4, "Yes.")], "case_id long, output string")
+    made = mutation.mutants(cases, {"yes_no_flipped": mutation.DEFAULT["yes_no_flipped"]})
+    [row] = mutation.summary(made).collect()
+    assert (row.defects, row.not_applicable) == (3, 1)
+
+
 def naive_clusters(similar, threshold):
     groups = [[i] for i in range(len(similar))]
     while len(groups) > 1:
