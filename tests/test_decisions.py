@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelframe.functions import resample
+from gavelframe.functions.rng import digest
 from gavelframe.operators import decisions, gate, labels, mutation, panel, search
 
 
@@ -218,3 +219,17 @@ def test_audits_outcomes_and_beta_intervals(spark):
     r = labels.adjusted_intervals(cells, ["g"]).first()
     point = 2 / 3 * 0.75 / (2 / 3 * 0.75 + 1 / 3 * 0.25)
     assert r.low < point < r.high and r.high - r.low < 0.3
+
+
+def test_only_the_first_cases_in_hash_order_are_sorted(spark):
+    """Groups larger and smaller than the budget, a missing key and a case that comes twice."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "j").alias("judge_id"), F.when(F.col("id") % 1000 == 7, "rare").otherwise("common").alias("attack"), (F.col("id") - F.col("id") % 3).alias("case_id"))
+    hashed = digest("stress", F.col("case_id"))
+    kept = search.first_by_hash(rows, ["judge_id", "attack"], hashed, 50)
+    near = [(r.judge_id, r.attack, r.case_id) for r in kept.select("judge_id", "attack", "case_id", hashed.alias("h")).orderBy("judge_id", "attack", "h", "case_id").collect()]
+    every = [(r.judge_id, r.attack, r.case_id) for r in rows.select("judge_id", "attack", "case_id", hashed.alias("h")).orderBy("judge_id", "attack", "h", "case_id").collect()]
+    for group in {r[:2] for r in every}:
+        a, b = [r for r in near if r[:2] == group], [r for r in every if r[:2] == group]
+        assert a == b[: len(a)] and min(50, len(b)) <= len(a) < 300, group
+    plan = search.stress(rows.withColumn("fooled", F.lit(True)), 50, ["judge_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
