@@ -165,3 +165,26 @@ def test_advice_and_cases_needed(spark, decided):
 
 def test_usage(capsys):
     assert main([]) == 2
+
+
+def test_reports_read_the_judgments_once(spark):
+    rows = [("j", c, kind, family, repeat, "a", (c + repeat) % 5 > 0) for c in range(40) for kind, family, repeat in (("reference", "", 0), ("reference", "", 1), ("must_fail", "x", 0), ("must_hold", "y", 0), ("human", "1", 0))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    judgments = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "judge_id string, case_id long, kind string, family string, repeat int, slice string, passed boolean")
+    reports = {
+        "checks": lambda: certify.checks(judgments, draws=20),
+        "dataset": lambda: certify.dataset_report(judgments, draws=20),
+        "sequential": lambda: certify.sequential(judgments, F.col("case_id") % 2, 2, draws=20),
+    }
+    for name, report in reports.items():
+        before = read.value
+        found = report().collect()
+        assert read.value - before == len(rows), name
+    assert sorted((r.look, r.judgments) for r in found) == [(0, 100), (1, 200)]
+    [row] = certify.dataset_report(judgments, draws=20).collect()
+    assert row.cases == 40
