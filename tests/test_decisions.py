@@ -233,3 +233,11 @@ def test_only_the_first_cases_in_hash_order_are_sorted(spark):
         assert a == b[: len(a)] and min(50, len(b)) <= len(a) < 300, group
     plan = search.stress(rows.withColumn("fooled", F.lit(True)), 50, ["judge_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_similarities_equal_cosines_pair_by_pair():
+    vectors = [{f"t{(i * k) % 37}": 1 / (1 + k) for k in range(1 + i % 9)} for i in range(40)] + [{}]
+    want = [[search.cosine_of(a, b) if i != j else 0.0 for j, b in enumerate(vectors)] for i, a in enumerate(vectors)]
+    got = search.similarities(vectors)
+    assert [[got[i][j] if i != j else 0.0 for j in range(41)] for i in range(41)] == want
+    assert search.clusters(got, 0.2) == naive_clusters(got.tolist(), 0.2)
