@@ -4,12 +4,15 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gavelframe.functions import resample
 from gavelframe.functions.rng import digest
 from gavelframe.operators import decisions, gate, labels, mutation, panel, search
+from gavelframe.plans import catalog
+from tests.oracle import assert_same
 
 
 @pytest.mark.parametrize("gains", [[0.5, 0.5, -0.5, 1, 0], [1, 1, 1, -1], [1 / 3, -2 / 3, 1, 1 / 3], [], [0, 0]])
@@ -169,6 +172,17 @@ def test_summary_counts_a_no_beside_a_letter_outside_ascii(spark):
     assert (row.defects, row.not_applicable) == (3, 1)
 
 
+def test_mutant_summary_of_odd_texts_equals_its_sql(spark, tmp_path):
+    texts = ["ye\u017fx", "a ye\u017f ", "YE\u017f_", "no\n", "n\u00f3 12", "\U0001f600 7.5\r\n", "9" * 38, "", None]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("mutant_summary", "kill_rate"):
+        assert_same(spark, con, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name])
+
+
 def naive_clusters(similar, threshold):
     groups = [[i] for i in range(len(similar))]
     while len(groups) > 1:

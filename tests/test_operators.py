@@ -57,6 +57,11 @@ def test_yes_and_no_beside_other_letters_are_words_as_in_sql(spark):
     assert want[0] == "yes\u00f1co" and want[4] is None
 
 
+def test_long_s_counts_as_s_as_in_sql(spark):
+    texts = ["ye\u017fx", "YE\u017f1.", "no ye\u017f", "a ye\u017f_", "aye\u017fb", "ye\u017f no"]
+    assert list(spark.range(1).select(*[T.flipped_yes_no(F.lit(t)) for t in texts]).first()) == ["yesx", "yes1.", "yes ye\u017f", "a yes_", None, "ye\u017f yes"]
+
+
 def test_iban_and_luhn(spark):
     df = spark.createDataFrame([("DE89370400440532013000", "4539578763621486"), ("DE88370400440532013000", "4539578763621487")], "i string, c string")
     assert [tuple(r) for r in df.select(T.iban_valid(F.col("i")), T.luhn(F.col("c"))).collect()] == [(True, True), (False, False)]
