@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -36,16 +36,21 @@ def pieces_of(text: str) -> list[str]:
     return (_SAFE_SPACE.split(text) if _odd(text) else text.split(" ")) if text else []
 
 
-def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit characters; a longer text is a range of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit; a larger text is a range of its own."""
+    start, total, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start <= i:
+        yield start, i + 1
+
+
+def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit characters."""
+    return ranges(map(len, texts), limit)
 
 
 def flatten(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

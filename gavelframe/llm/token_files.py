@@ -19,24 +19,102 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gavelframe.llm.segments import TextEncoder, chunks, flatten
-from gavelframe.llm.storage import Scratch, atomic_output, file_system, new_path
+from gavelframe.llm.segments import FlatTable, flatten, ranges, sums
+from gavelframe.llm.storage import Scratch, atomic_output, file_system, new_path, trim_memory
 
-_JOINED = 2_000
+_JOINED = 40
+_BATCH_BYTES = 12_000_000
 MANIFEST = "shard int, bin string, idx string, n_docs long, n_tokens long"
+# White space of any of Python, Arrow and the library, as UTF-8 in one number; ASCII signs without the apostrophe.
+_SPACES = np.array([*range(9, 14), *range(28, 33)])
+_WIDE_SPACES = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_LETTERS = r"^ ?\p{L}+$"
+#: Letters, ASCII digits and signs, with single line feeds between them: pre-tokens are runs of one kind.
+_PLAIN = rf"^ ?[\p{{L}}0-9{_SIGN}]+(?:\n[\p{{L}}0-9{_SIGN}]+)*$"
+_KINDS = np.array([0 if b == 32 else 1 if b == 10 else 2 if 48 <= b < 58 else 3 if b > 127 or chr(b).isalpha() else 4 for b in range(256)], np.int8)
+
+
+def matches(strings: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(strings, pattern).to_numpy(zero_copy_only=False)
+
+
+def raw(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all strings, int64 offsets into them)."""
+    if not len(strings):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(strings) + 1, 4 * strings.offset).astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def slices(data: np.ndarray, starts: np.ndarray) -> pa.StringArray:
+    """The strings between the starts; the last one ends with the data."""
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def safe_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of spaces with a character other than white space on either side, in the same text."""
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets[:-1]] = True
+    edge[offsets[1:] - (offsets[1:] > offsets[:-1])] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~edge[at]]
+    at = at[~np.isin(padded[at + 2], _SPACES) & ~np.isin(padded[at + 4], _SPACES)]
+    wide = np.flatnonzero((padded[at + 2] > 127) | (padded[at + 4] > 127))
+    byte = lambda k: padded[at[wide] + 3 + k].astype(np.int32)
+    two, three = lambda k: byte(k) << 8 | byte(k + 1), lambda k: byte(k) << 16 | byte(k + 1) << 8 | byte(k + 2)
+    spaced = np.isin(np.stack([two(-2), three(-3), two(1), three(1)]), _WIDE_SPACES).any(axis=0)
+    return np.delete(at, wide[spaced])
+
+
+class WordMemo:
+    """Ids by string, looked up a column at a time; forget() empties it once its strings hold more than limit bytes."""
+
+    def __init__(self, encode_new: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode_new, self.limit = encode_new, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.table = pa.array([], pa.string()), FlatTable()
+
+    def forget(self) -> None:
+        if self.words.nbytes > self.limit:
+            self.clear()
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all words, and how many each has."""
+        found = words.dictionary_encode()
+        rows = pc.index_in(found.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = found.dictionary.take(pa.array(missing))
+            first = self.table.extend(*self.encode_new(new))
+            self.words = pa.concat_arrays([self.words, new])
+            rows[missing] = np.arange(first, first + len(new))
+        return self.table.gather(rows[found.indices.to_numpy()])
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; many new pre-tokens go through it as one string, memoised afterwards."""
+    """Ids by the tokenizers library, a column of texts at a time.
 
-    def __init__(self, path: str):
+    Texts are cut into pieces at safe spaces.  Each new pre-token of a plain piece, and each new piece of
+    another kind, goes through the library once, many of them as one string, and is memoised afterwards.
+    """
+
+    def __init__(self, path: str, word_bytes: int = 16_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,42 +125,77 @@ class LibraryEncoder:
         self.token_lengths = np.zeros(1 + max(vocab.values()), np.int64)
         for token, i in vocab.items():  # a byte-level token has one letter a byte
             self.token_lengths[i] = len(added[i].encode()) if i in added else len(token)
-        self.texts = TextEncoder(self._encode_words, {t: i for i, t in added.items()})
-
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A pre-token with its space, or after a line feed whose id is then taken off, stands alone in a longer string."""
-        spaced = np.array([w[0] == " " and len(w) > 1 and not w[1].isspace() for w in words])
-        alone = np.array([w[0].isspace() for w in words]) & ~spaced
-        flat, lengths, place = [], [], []
-        joined = np.flatnonzero(~alone)
-        groups = [joined[i : i + _JOINED].tolist() for i in range(0, len(joined), _JOINED)]
-        units = [[words[i] if spaced[i] else "\n" + words[i] for i in g] for g in groups]
-        for group, unit, e in zip(groups, units, self.tokenizer.encode_batch_fast(["".join(u) for u in units], add_special_tokens=False) if units else []):
-            ids = np.array(e.ids, np.int64)
+        self.added = list(added.values())
+        self.words = WordMemo(self._encode_words, word_bytes)
+
+    def __call__(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        self.words.forget()
+        data, offsets = raw(texts)
+        starts = np.zeros(len(data) + 1, bool)
+        starts[offsets] = True
+        starts[safe_spaces(data, offsets)] = True  # a piece keeps the space before it
+        starts = np.flatnonzero(starts[:-1])
+        pieces = slices(data, starts).dictionary_encode()
+        rows = pieces.indices.to_numpy()
+        ids, lengths = self._encode_pieces(pieces.dictionary)
+        counts = np.diff(np.searchsorted(starts, offsets))
+        sizes = lengths[rows]
+        return flatten(ids, (np.cumsum(lengths) - lengths)[rows], sizes), sums(sizes, counts)
+
+    def _contains_added(self, strings: pa.Array) -> np.ndarray:
+        out = np.zeros(len(strings), bool)
+        for token in self.added:
+            out |= pc.match_substring(strings, token).to_numpy(zero_copy_only=False)
+        return out
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain pieces are cut into pre-tokens; other pieces are left to the library whole."""
+        plain = ~matches(pieces, _LETTERS) & matches(pieces, _PLAIN) & ~self._contains_added(pieces)
+        data, offsets = raw(pieces.filter(pa.array(plain)))
+        kinds = _KINDS[data]
+        starts = np.ones(len(data), bool)
+        starts[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != 0)
+        starts[offsets[:-1]] = True
+        starts = np.flatnonzero(starts)
+        ids, lengths = self.words.encode(pa.concat_arrays([pieces.filter(pa.array(~plain)), slices(data, starts)]))
+        n = len(pieces) - len(offsets) + 1
+        out, places = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        out[~plain], out[plain] = lengths[:n], sums(lengths[n:], np.diff(np.searchsorted(starts, offsets)))
+        order = np.concatenate([np.flatnonzero(~plain), np.flatnonzero(plain)])
+        places[order] = np.cumsum(out[order]) - out[order]
+        return flatten(ids, places, out), out
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A string with its space, or after a line feed whose id is then taken off, stands in a longer one; those with other white space at an end or an added token stand alone."""
+        spaced = matches(words, f"^ [^{_SPACE}]")
+        alone = ~spaced & matches(words, f"^[{_SPACE}]") | matches(words, f"[{_SPACE}]$") | self._contains_added(words)
+        flat, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        together = np.flatnonzero(~alone)
+        if len(together):
+            extra = ~spaced[together]
+            units = pc.binary_join_element_wise(pa.array(["", "\n"]).take(pa.array(extra.astype(np.int8))), words.take(pa.array(together)), "")
+            data, offsets = raw(units)
+            strings = slices(data, offsets[:-1:_JOINED]).to_pylist()
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]), np.int64)
             ends = np.cumsum(self.token_lengths[ids])
-            want = np.cumsum([len(u.encode()) for u in unit])
-            cut = np.searchsorted(ends, want) + 1
-            if cut[-1] != len(ids) or (ends[cut - 1] != want).any():  # never for a byte-level vocabulary
+            cut = np.searchsorted(ends, offsets[1:]) + 1
+            if cut[-1] != len(ids) or (ends[cut - 1] != offsets[1:]).any():  # never for a byte-level vocabulary
                 raise ValueError("a token crosses a pre-token boundary")
             n = np.diff(cut, prepend=0)
-            extra = ~spaced[group]
             flat.append(np.delete(ids, (cut - n)[extra]))
             lengths.append(n - extra)
-            place += group
-        rest = np.flatnonzero(alone).tolist()
+        rest = words.filter(pa.array(alone)).to_pylist()
         if rest:
-            encoded = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
             flat += [np.array(e.ids, np.int64) for e in encoded]
             lengths.append(np.fromiter((len(e) for e in encoded), np.int64, len(rest)))
-            place += rest
         flat, lengths = np.concatenate(flat), np.concatenate(lengths)
         back = np.empty(len(words), np.int64)
-        back[place] = np.arange(len(words))
+        back[np.concatenate([together, np.flatnonzero(alone)])] = np.arange(len(words))
         return flatten(flat, (np.cumsum(lengths) - lengths)[back], lengths[back]), lengths[back]
 
-    def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.texts.encode(texts)
-
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
@@ -95,8 +208,25 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, ends, end_id), lengths + 1
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to _BATCH_BYTES or a little more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_token_files(docs: DataFrame, make_encoder: Callable[[], Callable], path: str, end_id: int = 0, width: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write one shard a range of keys; returns the manifest, one row a shard (to be saved before use: reading it writes)."""
+    """Write one shard a range of keys; returns the manifest, one row a shard (to be saved before use: reading it writes).
+
+    make_encoder makes a function that takes a column of texts (a pyarrow array) to flat ids and their number a text.
+    """
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +235,18 @@ def write_token_files(docs: DataFrame, make_encoder: Callable[[], Callable], pat
         base = f"{path}/shard-{shard:07d}"
         keys, nulls, lengths = [], [], []
         with atomic_output(f"{base}.bin") as sink:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
+            for batch in gathered(batches):
                 keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("<i8"))
-                for a, b in chunks(texts):
-                    ids, n = with_end(*encoder(texts[a:b]), end_id)
+                texts = batch.column(1)
+                for a, b in ranges(pc.binary_length(texts).to_pylist(), _BATCH_BYTES):
+                    ids, n = with_end(*encoder(texts.slice(a, b - a)), end_id)
                     if len(ids) and ids.max() >= 1 << (8 * width):
                         raise ValueError(f"an id needs more than {width} bytes")
                     sink.write(ids.astype(f"<u{width}").tobytes())
                     lengths.append(n)
         keys, nulls, lengths = (np.concatenate(x) if x else np.empty(0, "<i8") for x in (keys, nulls, lengths))
+        trim_memory()
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
         with atomic_output(f"{base}.idx") as sink:
             sink.write(np.concatenate([[len(keys)], keys, nulls, offsets]).astype("<i8").tobytes())
@@ -177,5 +308,5 @@ def read_token_files(manifest: DataFrame, width: int = 2, key: str = "doc_id", w
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0, width: int = 2, path: str | None = None) -> DataFrame:
     """Write documents as token files below path (the shared folder by default) and read them back."""
     path = path or new_path(spark, "token-files")
-    manifest = Scratch(spark).save(write_token_files(docs, lambda: library_encoder(vocabulary), path, end_id, width), "token-manifest")
+    manifest = Scratch(spark).save_bounded(write_token_files(docs, lambda: library_encoder(vocabulary), path, end_id, width), "token-manifest", 2000)
     return read_token_files(manifest, width)

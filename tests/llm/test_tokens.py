@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,6 +58,34 @@ def test_pieces_join_back():
         assert " ".join(pieces_of(t)) == t
 
 
+def test_letters_and_white_space_are_those_of_the_library(library):
+    rng = random.Random(8)
+    alphabet = ["\u0558", "\u1c8a", "'s", "\u2019", " ", " ", "\x85", "\xa0", "\u3000", "\u2028", "\n", "\n\n", "\x00", "no", "7", "\u0663", "!", "<|endoftext|>", "\u201c", "\u0301"]
+    texts = ["\u0558's x", "", "a\u201d \u2014 b"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(2_000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    small = token_files.LibraryEncoder(queries.VOCABULARY, word_bytes=100)
+    got = [ids for i in range(0, len(texts), 50) for ids in split(*small(pa.array(texts).slice(i, 50)))]
+    assert got == want
+
+
+def test_pieces_of_a_column_begin_at_safe_spaces():
+    data, offsets = token_files.raw(pa.array(TEXTS).slice(1))
+    cuts = set(token_files.safe_spaces(data, offsets).tolist())
+    for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), TEXTS[1:]):
+        at = [a, *sorted(c for c in cuts if a <= c < b), b]
+        assert [bytes(data[x:y]).decode() for x, y in zip(at[:-1], at[1:])] == [" " * (i > 0) + p for i, p in enumerate(pieces_of(t))]
+
+
+def test_encoding_takes_under_half_the_cpu_time_of_whole_texts_through_the_library(spark, library):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4_000).collect()]
+    encoder = token_files.LibraryEncoder(queries.VOCABULARY)
+    began = time.process_time()
+    _, lengths = encoder(texts)
+    middle = time.process_time()
+    assert lengths.tolist() == [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert middle - began < 0.5 * (time.process_time() - middle)
+
+
 def digest(ids):
     return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
